@@ -146,7 +146,7 @@ def _sums(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
                 total[:, size] += f.T @ b["y"].to_numpy()
         yield pd.DataFrame({"i": np.arange(size), "sums": list(total)})
 
-    def added(key, group: pd.DataFrame) -> pd.DataFrame:
+    def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": [key[0]], "sums": [np.sum(np.stack(group["sums"].to_list()), axis=0)]})
 
     out = rows.mapInPandas(part, "i long, sums array<double>").groupBy("i").applyInPandas(added, "i long, sums array<double>")

@@ -158,10 +158,11 @@ def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     parts = max(1, min(MOST_RANGES, n // RANGE_ROWS + 1))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
     cuts = sorted({float(c) for c in cuts or []})
-    splits = [-float("inf"), *cuts, float("inf")]
     # A missing doc_id comes last, with the smallest.
-    rows = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.7e308)))
-    rows = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(rows)
+    rows = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.7e308))).withColumn("bucket", F.lit(0))
+    if cuts:
+        splits = [-float("inf"), *cuts, float("inf")]
+        rows = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(rows.drop("bucket"))
     rows = rows.withColumn("part", F.lit(len(cuts)) - F.col("bucket").cast("int")).drop("place", "bucket")
     # At most MOST_RANGES rows come to the driver.
     firsts = sorted((r["part"], r["first"]) for r in rows.groupBy("part").agg(F.max("doc_id").alias("first")).collect())

@@ -10,6 +10,7 @@ slot of its rank within its length, by a join with the plan.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,14 +25,54 @@ from .common import col, small_batches, stored
 
 MAX_LEN, END_ID = 4096, 1
 #: Words kept in a worker's cache, and pieces that share one rank window on average.
-CACHE_WORDS, RANK_ROWS = 150_000, 200_000
+CACHE_WORDS, RANK_ROWS = 250_000, 200_000
 
 #: str.split() also splits at these, which the tokenizer does not take for white space.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Words whose normal form and lower case are plain: the other ones go to the tokenizer itself.
+_PLAIN = re.compile("[\x21-\x7e\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u0148\u014a-\u017f]+")
+#: The tokenizer's own split of a plain word: endings, letters, single digits, marks.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
 
 
-class WordCache:
-    """Ids of a text from the ids of its blank-separated words, each looked up once.
+class FastWords:
+    """The merges of a word-end BPE file, run by tiktoken's merge loop.
+
+    The end of a word is one more byte, 0xff, that is joined to the last byte first of all;
+    then merges follow in the file's order, as they do in the tokenizer.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        model, end = config["model"], config["model"]["end_of_word_suffix"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(printable)]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+        def raw(token: str) -> bytes:
+            word = token.removesuffix(end)
+            return bytes(byte_of[c] for c in word) + b"\xff" * (word != token)
+
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(256)}
+        for merge in model["merges"]:
+            first, second = merge.split(" ") if isinstance(merge, str) else merge
+            ranks.setdefault(raw(first + second), len(ranks))
+        special = {t["content"] for t in config["added_tokens"]}
+        self.id_of = {ranks[raw(t)]: i for t, i in model["vocab"].items() if t not in special}
+        self.merged = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def ids(self, word: str) -> tuple[int, ...]:
+        id_of, merged, word = self.id_of, self.merged, word.lower()
+        if word.isalpha():
+            return tuple([id_of[t] for t in merged(word.encode() + b"\xff")])
+        return tuple([id_of[t] for piece in _PIECES(word) for t in merged(piece.encode() + b"\xff")])
+
+
+class WordCache(dict):
+    """Ids of a text from the ids of its blank-separated words; the dict is the cache.
 
     Right for tokenizers that drop white space and never join across it.
     """
@@ -39,26 +80,26 @@ class WordCache:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.tokenizer, self.fast = Tokenizer.from_file(path), FastWords(path)
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if (ids := self.older.get(word)) is None:
+            ids = self.fast.ids(word) if _PLAIN.fullmatch(word) else tuple(self.whole(word))
+        self[word] = ids
+        return ids
+
     def ids(self, text: str) -> np.ndarray:
-        if _ODD_SPACE.search(text):
+        # Special tokens are looked for in the text as it is, blanks and all.
+        if "<|" in text or _ODD_SPACE.search(text):
             return np.array(self.whole(text), dtype="<u4")
-        words = text.split()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 5000):
-                part = new[at : at + 5000]
-                known.update(zip(part, (tuple(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype="<u4")
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), dtype="<u4")
 
 
 def pieces_of(ids: np.ndarray, max_len: int) -> list[tuple[int, int, int, int]]:

@@ -23,6 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ROW, col, packed, small_batches, stored, unpacked
 
@@ -119,7 +120,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "node long, shingles binary")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether 100 * intersection >= SIMILAR * union for two sorted sets."""
 

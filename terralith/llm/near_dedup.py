@@ -10,8 +10,10 @@
    copies costs n pairs, not n * n / 2. Pairs that agree on MATCHES coordinates are confirmed
    on their full shingle sets, and confirmed links are closed to components.
 4. Lists whose classes are then all in one component are done. The classes of the others are
-   compared across components through an exact prefix filter on the shingle sets themselves,
-   so that no link between different components is lost; the components are closed again.
+   compared across components by an exact prefix filter on their differences from the list's
+   most central class (on the sets themselves where a class is unlike it), so that no link
+   between different components is lost; the components are closed again. Copies with edits
+   of their own share most of their text, but little of what was edited.
 """
 
 from __future__ import annotations
@@ -183,29 +185,105 @@ def _postings(nodes: DataFrame) -> DataFrame:
     return mine.select("node", F.size("mine").alias("weight"), F.explode(prefix).alias("p")).select("p.key", "node", "weight")
 
 
-def _across(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share a shingle of their prefixes.
+@F.pandas_udf(T.BinaryType())
+def _difference(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The shingles that just one of two sorted sets has; null if the sets are less than half alike."""
+
+    def one(x: bytes, y: bytes) -> bytes | None:
+        both = np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)])
+        both.sort()
+        again = both[1:] == both[:-1]
+        common = int(again.sum())
+        if 2 * common < len(both) - common:
+            return None
+        return both[~(np.append(again, False) | np.append(False, again))].tobytes()
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object)
+
+
+def _exploded(sets: DataFrame) -> DataFrame:
+    """One row a shingle of (centre, node, label, n, base, far, shingles); size is the number of shingles."""
 
-    A set of n shingles, ordered from rare to common, meets any similar one within its first
-    n - ceil(n * SIMILAR / 100) + 1 shingles. open_nodes has node and label.
-    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for node, label, data in zip(batch["node"], batch["label"], batch["shingles"]):
-                s = np.frombuffer(data, dtype=np.int64)
-                yield pd.DataFrame({"node": node, "label": label, "n": len(s), "shingle": s})
-
-    each = stored(open_nodes.join(sets, "node").mapInPandas(run, "node long, label long, n long, shingle long"), "open-shingles")
-    # Shingles within one component, single ones among them, can join nothing; they still take their place in the order.
-    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("label") != F.max("label")).alias("mixed"))
-    common = common.where("mixed").select("shingle", "df")
-    mine = each.join(common, "shingle").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("mine"))
-    # The n - size(mine) others come first in the order: they match nothing across components.
-    length = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - (F.col("n") - F.size("mine"))
-    prefix = stored(mine.where(length > 0).select("node", "label", "n", F.explode(F.slice("mine", 1, length.cast("int"))).alias("p")).select("p.shingle", "node", "label", "n"), "open-prefixes")
-    other = prefix.select("shingle", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-    near = (F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & (100 * F.least("n", "n_b") >= SIMILAR * F.greatest("n", "n_b"))
-    return prefix.join(other, "shingle").where(near).select(F.col("node").alias("a"), "b").distinct()
+            of = [np.frombuffer(data, dtype=np.int64) for data in batch["shingles"]]
+            size = np.array([len(s) for s in of], dtype=np.int64)
+            out = batch.drop(columns="shingles").assign(size=size)
+            out = out.loc[out.index.repeat(size)]
+            yield out.assign(shingle=np.concatenate([np.zeros(0, dtype=np.int64), *of]))
+
+    own = sets.select("centre", "node", "label", "n", "base", "far", "shingles")
+    return own.mapInPandas(run, "centre long, node long, label long, n long, base long, far boolean, size long, shingle long")
+
+
+def _meet(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of one centre and different labels that may be similar, by an exact prefix filter.
+
+    shingles is the difference D of a node's set from the centre's, base the centre's size.
+    Similar sets of n and m shingles differ in (n + m) / 7 at most (for a bound of 0.75), so the
+    differences of two such share t = (|D| + |E| - (n + m) / 7) / 2 shingles, and meet within
+    the first |D| - t + 1 and |E| - t + 1 in an order from rare to common. The set with the
+    smaller difference needs the shorter prefix: just that is joined with the longer ones.
+    Two sets both similar to the centre have one label, which shortens the prefixes of these.
+    """
+    apart, total = 100 - SIMILAR, 100 + SIMILAR
+    each = stored(_exploded(sets), "open-shingles")
+    # Shingles within one label, single ones among them, can join nothing; they come first in the order.
+    common = each.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("label") != F.max("label")).alias("mixed"))
+    common = common.where("mixed").select("centre", "shingle", "df")
+    mine = each.join(common, ["centre", "shingle"]).groupBy("centre", "node", "label", "n", "base", "far", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("mine"))
+    widest = sets.groupBy("centre").agg(F.max("n").alias("widest"))
+    n, base, size = F.col("n"), F.col("base"), F.col("size")
+    largest = F.least(F.floor(n * 100 / SIMILAR), "widest")
+    linked = total * size <= apart * (n + base)
+    beside = F.floor((total * size + apart * (n - base)) / (2 * total)) + 1
+    small = F.when(linked, beside).otherwise(F.floor(apart * (n + largest) / (2 * total)) + 1)
+    large = F.when(linked, beside).otherwise(F.floor(apart * (n + largest) / total) + 1)
+    mine = mine.join(widest, "centre").withColumn("small", small).withColumn("large", large)
+    place = size - F.size("mine") + F.col("at") + 1
+    prefix = mine.select("centre", "node", "label", "n", "far", "size", "small", "large", "mine", F.posexplode("mine").alias("at", "p"))
+    prefix = prefix.withColumn("place", place).where("place <= large")
+    prefix = stored(prefix.select("centre", "p.shingle", "node", "label", "n", "far", "size", "place", (F.col("place") <= F.col("small")).alias("short")), "open-prefixes")
+    x = prefix.where("short").alias("x")
+    y = prefix.alias("y")
+    both = apart * (F.col("x.n") + F.col("y.n"))
+    reaches = lambda one, other: 2 * total * (F.col(f"{one}.place") - 1) <= total * (F.col(f"{one}.size") - F.col(f"{other}.size")) + both
+    on = (
+        (F.col("x.centre") == F.col("y.centre"))
+        & (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.label") != F.col("y.label"))
+        & (F.col("x.far") | F.col("y.far"))
+        & (F.struct("x.size", "x.node") < F.struct("y.size", "y.node"))
+        & (100 * F.least("x.n", "y.n") >= SIMILAR * F.greatest("x.n", "y.n"))
+        & reaches("x", "y")
+        & reaches("y", "x")
+    )
+    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a list and may be similar.
+
+    members has node, label and centre: the open lists' classes but for the centres, each of which
+    was compared with all of its lists already. Classes of one centre are compared by their
+    differences from it. Where a class is less than half like its centre, whatever is similar to
+    it is not linked to the centre either: these are compared by their own sets.
+    """
+    apart, total = 100 - SIMILAR, 100 + SIMILAR
+    sized = members.join(nodes.select("node", "n"), "node").join(nodes.select(F.col("node").alias("centre"), F.col("n").alias("base")), "centre")
+    own = sets.select("node", "shingles")
+    of_centre = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("of_centre"))
+    near = sized.where(2 * F.least("n", "base") >= F.greatest("n", "base")).join(own, "node").join(of_centre, "centre")
+    near = near.select("centre", "node", "label", "n", "base", F.lit(True).alias("far"), _difference("shingles", "of_centre").alias("shingles"))
+    near = stored(near, "differences").where("shingles is not null")
+
+    linked = near.select("centre", "node", (total * F.length("shingles") / 8 <= apart * (F.col("n") + F.col("base"))).alias("linked"))
+    rest = stored(sized.join(linked, ["centre", "node"], "left"), "open-members")
+    with_far = rest.where("linked is null").select("centre").distinct()
+    loose = rest.where("linked is null or not linked").join(with_far, "centre", "left_semi")
+    loose = loose.groupBy("node", "label", "n").agg(F.max(F.col("linked").isNull()).alias("far")).join(own, "node")
+    loose = loose.withColumn("centre", F.lit(0).cast("long")).withColumn("base", F.lit(0).cast("long"))
+    return _meet(near).union(_meet(stored(loose, "far-members"))).distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -230,8 +308,9 @@ def link(docs: DataFrame) -> DataFrame:
     label = F.coalesce("label", "node").alias("label")
     labelled = postings.join(labels, "node", "left").select("key", "node", label)
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_nodes = stored(labelled.join(open_keys, "key", "left_semi").select("node", "label").distinct(), "open-classes")
-    more = stored(confirmed(_across(open_nodes, sets), nodes, sets), "links")
+    members = labelled.join(open_keys, "key", "left_semi").join(centre.withColumnRenamed("b", "centre"), "key")
+    members = stored(members.where("node <> centre").select("node", "label", "centre").distinct(), "open-classes")
+    more = stored(confirmed(_across(members, nodes, sets), nodes, sets), "links")
     if not more.isEmpty():
         labels = components(edges.union(more))
 

@@ -244,21 +244,22 @@ def _meet(sets: DataFrame) -> DataFrame:
     prefix = mine.select("centre", "node", "label", "n", "far", "size", "small", "large", "mine", F.posexplode("mine").alias("at", "p"))
     prefix = prefix.withColumn("place", place).where("place <= large")
     prefix = stored(prefix.select("centre", "p.shingle", "node", "label", "n", "far", "size", "place", (F.col("place") <= F.col("small")).alias("short")), "open-prefixes")
-    x = prefix.where("short").alias("x")
-    y = prefix.alias("y")
+    short = prefix.where("short")
     both = apart * (F.col("x.n") + F.col("y.n"))
     reaches = lambda one, other: 2 * total * (F.col(f"{one}.place") - 1) <= total * (F.col(f"{one}.size") - F.col(f"{other}.size")) + both
     on = (
         (F.col("x.centre") == F.col("y.centre"))
         & (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.label") != F.col("y.label"))
-        & (F.col("x.far") | F.col("y.far"))
         & (F.struct("x.size", "x.node") < F.struct("y.size", "y.node"))
         & (100 * F.least("x.n", "y.n") >= SIMILAR * F.greatest("x.n", "y.n"))
         & reaches("x", "y")
         & reaches("y", "x")
     )
-    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    # Of two sets that are both not far there is nothing to find.
+    ends = [(short.where("far"), prefix), (short.where("not far"), prefix.where("far"))]
+    found = [x.alias("x").join(y.alias("y"), on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")) for x, y in ends]
+    return found[0].union(found[1]).distinct()
 
 
 def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@
    other and is left out at once. Of the m shared values of a class, ordered from rare to
    common, only the first m - MATCHES + 1 are merged: two classes that agree on MATCHES
    coordinates must meet in that prefix, so very common values are hardly ever merged.
-3. Each posting list is first merged with its most central class alone, so a group of n near
+3. Each posting list is split by set size and first merged with its most central class alone, so a group of n near
    copies costs n pairs, not n * n / 2. Pairs that agree on MATCHES coordinates are confirmed
    on their full shingle sets, and confirmed links are closed to components.
 4. Lists whose classes are then all in one component are done. The classes of the others are
@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,6 +186,17 @@ def _postings(nodes: DataFrame) -> DataFrame:
     return mine.select("node", F.size("mine").alias("weight"), F.explode(prefix).alias("p")).select("p.key", "node", "weight")
 
 
+def _banded(postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, band, node, weight): posting lists split by set size, each class in two neighbouring bands.
+
+    A band is a little wider than the ratio of the sizes of similar sets, so two such are at most
+    one band apart and share a list; a list has a centre of about its members' size.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / SIMILAR)).cast("int")
+    sized = postings.join(nodes.select("node", band.alias("low")), "node")
+    return sized.select("key", F.explode(F.array("low", F.col("low") + 1)).alias("band"), "node", "weight")
+
+
 @F.pandas_udf(T.BinaryType())
 def _difference(a: pd.Series, b: pd.Series) -> pd.Series:
     """The shingles that just one of two sorted sets has; null if the sets are less than half alike."""
@@ -301,15 +313,16 @@ def link(docs: DataFrame) -> DataFrame:
     texts = docs.join(live.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
     sets = stored(shingle_sets(texts), "sets").dropDuplicates(["node", "shingles"])
 
-    centre = postings.groupBy("key").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c")).select("key", F.col("c.node").alias("b"))
-    pairs = postings.join(centre, "key").where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    lists = stored(_banded(postings, nodes), "lists")
+    centre = lists.groupBy("key", "band").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c")).select("key", "band", F.col("c.node").alias("b"))
+    pairs = lists.join(centre, ["key", "band"]).where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     edges = stored(confirmed(pairs, nodes, sets), "links")
     labels = components(edges)
 
     label = F.coalesce("label", "node").alias("label")
-    labelled = postings.join(labels, "node", "left").select("key", "node", label)
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    members = labelled.join(open_keys, "key", "left_semi").join(centre.withColumnRenamed("b", "centre"), "key")
+    labelled = lists.join(labels, "node", "left").select("key", "band", "node", label)
+    open_lists = labelled.groupBy("key", "band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "band")
+    members = labelled.join(open_lists, ["key", "band"], "left_semi").join(centre.withColumnRenamed("b", "centre"), ["key", "band"])
     members = stored(members.where("node <> centre").select("node", "label", "centre").distinct(), "open-classes")
     more = stored(confirmed(_across(members, nodes, sets), nodes, sets), "links")
     if not more.isEmpty():

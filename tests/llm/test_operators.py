@@ -97,6 +97,26 @@ def test_near_dedup_links(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
+def test_near_dedup_links_away_from_the_centre(spark):
+    """One group of which most copies are too far from the base, cut copies and copies of copies among them."""
+    rng = random.Random(9)
+    texts = [[f"w{rng.randrange(90)}" for _ in range(150)]]
+    for _ in range(170):
+        copy = list(rng.choice(texts[-3:] if rng.random() < 0.5 else texts[:1]))
+        for _ in range(rng.randrange(1, 10)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        texts.append(copy[: max(40, int(len(copy) * rng.choice([1, 1, 0.85, 0.6])))])
+    sets = {i: shingles(" ".join(t)) for i, t in enumerate(texts, 10)}
+    label = {i: i for i in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert 10 < len(set(label.values())) < 160
+    got = near_dedup.near_duplicates(docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts, 10)])).collect()
+    assert {r.doc_id: r.component_id for r in got} == label
+
+
 def test_near_dedup_awkward(spark, awkward):
     got = near_dedup.near_duplicates(awkward).collect()
     assert len(got) == len(AWKWARD)

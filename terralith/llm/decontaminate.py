@@ -6,6 +6,8 @@ one piece unchanged. Piece hits are found by the first eight characters of every
 text at once. The stretch around a hit is then verified by Myers' bit-parallel search, first
 for the hit piece with its neighbour, then for twice as many pieces and so on up to the whole
 item: j adjacent pieces may hold j - 1 edits, by the same principle, so nothing is lost.
+Items under MIN_CHARS characters may have no edits: they are one piece, found as they are
+between word bounds.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from pyspark.sql import functions as F
 from .common import col, small_batches
 
 ERROR_RATE = 0.1
-#: Items shorter than this (after folding) are too common to count as leaks.
+#: Items shorter than this (after folding) are searched for without edits, at word bounds.
 MIN_CHARS = 40
 #: Characters of benchmark items that one pass over the texts carries; more items take more passes.
 BLOCK_CHARS = 4_000_000
 
-#: Every piece has at least so many characters, as MIN_CHARS and ERROR_RATE are now.
+#: Every piece of an item with edits has at least so many characters, as MIN_CHARS and ERROR_RATE are now.
 PREFIX = 8
 _TABLE_BITS, _MIX = 22, np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,6 +44,7 @@ def prefixes(text: str) -> np.ndarray:
     code = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
     if len(code) < PREFIX:
         return np.zeros(0, dtype=np.uint64)
+    # One byte a character, so the low k bytes stand for the first k characters.
     one = (code ^ (code >> 7)).astype(np.uint8).astype(np.uint16)
     two = one[:-1] | (one[1:] << 8)
     two = two.astype(np.uint32)
@@ -53,6 +56,12 @@ def spread(numbers: np.ndarray) -> np.ndarray:
     return ((numbers * _MIX) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
+def at_word_bounds(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit goes on beyond either end of the passage."""
+    before = start == 0 or not (text[start].isalnum() and text[start - 1].isalnum())
+    return before and (end == len(text) or not (text[end - 1].isalnum() and text[end].isalnum()))
+
+
 def cut(item: str, error_rate: float) -> list[tuple[int, str]]:
     """(offset, piece) of the e + 1 pieces, which differ in length by one at most."""
     n = int(len(item) * error_rate) + 1
@@ -123,10 +132,22 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
         self.items = items
         self.pieces: dict[int, list[tuple[str, int, int, Part | None]]] = defaultdict(list)
+        #: Items without edits: by the length of their prefix, then by its number.
+        self.short: dict[int, dict[int, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))
         for k, (_, text) in enumerate(items):
-            self._split(k, text, cut(text, error_rate), None)
-        self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
-        self.table[spread(np.array(list(self.pieces), dtype=np.uint64))] = True
+            if len(text) < MIN_CHARS:
+                size = min(len(text), PREFIX)
+                self.short[size][int(prefixes(text[:size].ljust(PREFIX, "\0"))[0])].append((text, k))
+            else:
+                self._split(k, text, cut(text, error_rate), None)
+        self.table = self._table(self.pieces)
+        self.short_tables = {size: self._table(numbers) for size, numbers in self.short.items()}
+
+    @staticmethod
+    def _table(numbers: dict) -> np.ndarray:
+        table = np.zeros(1 << _TABLE_BITS, dtype=bool)
+        table[spread(np.array(list(numbers), dtype=np.uint64))] = True
+        return table
 
     def _split(self, k: int, text: str, pieces: list[tuple[int, str]], above: Part | None) -> None:
         """A binary tree over the pieces, whose leaves know the part above them."""
@@ -144,11 +165,11 @@ class Matcher:
     def found(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, distance, end in the folded text) of each item that the text holds."""
         text = folded(text)
-        if len(text) < PREFIX or not self.items:
+        if not text or not self.items:
             return []
         numbers = prefixes(text)
         places = np.flatnonzero(self.table[spread(numbers)])
-        best: dict[int, tuple[int, int]] = {}
+        best: dict[int, tuple[int, int]] = self._found_short(text) if self.short else {}
         known: dict[tuple[int, int], tuple[int, int] | None] = {}
         for at, number in zip(places.tolist(), numbers[places].tolist()):
             for piece, offset, k, part in self.pieces.get(number, ()):
@@ -164,13 +185,26 @@ class Matcher:
                     best[k] = hit
         return sorted((self.items[k][0], d, end) for k, (d, end) in best.items())
 
+    def _found_short(self, text: str) -> dict[int, tuple[int, int]]:
+        """Distance 0 and the first end of each item without edits."""
+        best: dict[int, tuple[int, int]] = {}
+        numbers = prefixes(text + "\0" * (PREFIX - 1))
+        for size, by_number in self.short.items():
+            own = numbers & np.uint64((1 << 8 * size) - 1)
+            places = np.flatnonzero(self.short_tables[size][spread(own)])
+            for at, number in zip(places.tolist(), own[places].tolist()):
+                for item, k in by_number.get(number, ()):
+                    if k not in best and text.startswith(item, at) and at_word_bounds(text, at, at + len(item)):
+                        best[k] = (0, at + len(item))
+        return best
+
 
 def blocks(benchmark: DataFrame, error_rate: float, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The folded items in blocks of bounded size, read one after the other."""
     block, size = [], 0
     for r in benchmark.select(col("item_id").alias("item_id"), col("text").alias("text")).where("item_id is not null and text is not null").toLocalIterator():
         text = folded(r["text"])
-        if len(text) < MIN_CHARS:
+        if not text:
             continue
         block.append((r["item_id"], text))
         size += len(text)
@@ -198,8 +232,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     distance is the least number of edits, match_end the place in the folded text where the
     first such passage ends. Case of A-Z and runs of blanks make no difference.
 
-    Defined cases: null and empty texts hold nothing; items that are null, without item_id or
-    under MIN_CHARS characters are not searched for; a row without doc_id is searched and
+    Items under MIN_CHARS characters are held without any edit only, and between word bounds:
+    no letter or digit goes on beyond their own first or last one.
+
+    Defined cases: null and empty texts hold nothing; items that are null, blank or without
+    item_id are not searched for; a row without doc_id is searched and
     keeps a null doc_id; repeated rows and repeated items give repeated rows; empty tables
     give an empty result; further columns are ignored.
     """

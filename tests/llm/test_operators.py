@@ -159,6 +159,25 @@ def test_leaks_in_blocks(spark, awkward, benchmark):
     assert 50 not in {r.doc_id for r in decontaminate.drop_leaks(docs, benchmark).collect()}
 
 
+def test_short_items(spark):
+    items = ["What is the  capital of France?", "2 + 2 = 4", "six", "日本", "", "é", "x" * 39, "fox jumps"]
+    texts = ["Q: what is the CAPITAL of France? Paris", "so 2 + 2 = 4.", "2 + 2 = 45", "sixteen", "a six-pack, six", "日本", "日本語", "caf\u00e9 \u00e9", "x" * 40, "ax" + "x" * 38, "y " + "x" * 39, "the fox jumps", "the fox jumpt", "", None, "si", "What is the capital of Trance?"]
+    want = []
+    for i, text in enumerate(texts):
+        text = decontaminate.folded(text)
+        for k, item in enumerate(map(decontaminate.folded, items)):
+            ends = [m.end() for m in re.finditer(f"(?={re.escape(item)})", text) for m in [re.compile(re.escape(item)).match(text, m.start())] if not re.match(r"\w\w", text[max(0, m.start() - 1) :][: 2 if m.start() else 0]) and not re.match(r"\w\w", text[m.end() - 1 : m.end() + 1])] if item else []
+            want += [(i, k, 0, ends[0])] if ends else []
+    assert {(i, k) for i, k, _, _ in want} == {(0, 0), (1, 1), (4, 2), (5, 3), (7, 5), (10, 6), (11, 7)}
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = docs_of(spark, list(enumerate(texts)))
+    for block in (1, 10**6):
+        got = decontaminate.find_leaks(docs, benchmark, block_chars=block).collect()
+        assert sorted((r.doc_id, r.item_id, r.distance, r.match_end) for r in got) == want
+        kept = {r.doc_id for r in decontaminate.drop_leaks(docs, benchmark, block_chars=block).collect()}
+        assert kept == set(range(len(texts))) - {i for i, *_ in want}
+
+
 def test_packing_plan():
     rng = random.Random(1)
     for _ in range(200):

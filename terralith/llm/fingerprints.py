@@ -8,6 +8,11 @@ GRID of them; the steps of two texts divide one another, so the same binary sear
 common lengths gives the longest common beginning and end of two texts from their
 fingerprints alone.
 
+near_edited and near_next come from the prefix arrays of both texts, not from fingerprints:
+the common beginning and end, and in between every common span that holds a block of SPAN
+code points, wherever it is. Blocks are found by the hashes of all spans of that length and
+drawn out by longest common extensions; after a mismatch the search goes on behind it.
+
 For the document that follows each one, documents are dealt into ranges of doc_id, each
 sorted by one task; the first document of a range is also sent to the range before it.
 """
@@ -27,6 +32,8 @@ from .common import col, small_batches
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525013)
 GRID, CHUNK, RANGE_ROWS, MOST_RANGES = 32, 1 << 15, 4000, 20_000
+#: Common spans of at least 2 * SPAN - 1 code points are found wherever they are.
+SPAN = 32
 
 
 def _powers(base: int, prime: int, n: int) -> np.ndarray:
@@ -40,6 +47,9 @@ def _powers(base: int, prime: int, n: int) -> np.ndarray:
 
 
 _POWERS = [_powers(b, p, CHUNK) for b, p in zip(BASES, PRIMES)]
+_INVERSES = [pow(b, -1, p) for b, p in zip(BASES, PRIMES)]
+#: B**-i of the first modulus.
+_SCALES = _powers(_INVERSES[0], PRIMES[0], CHUNK)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -67,23 +77,87 @@ class PrefixArray:
 
     def __init__(self, text: str):
         self.n = len(code := code_points(text))
-        self.h = prefix_hashes(code, np.arange(self.n + 1))
+        self.h = [h.astype(np.uint32) for h in prefix_hashes(code, np.arange(self.n + 1))]
 
     def span(self, at: int, length: int) -> tuple[int, int]:
         """The hash of a span, the same wherever the span is."""
-        return tuple((int(h[at + length]) - int(h[at])) * pow(pow(b, -1, p), at, p) % p for h, b, p in zip(self.h, BASES, PRIMES))
+        return tuple((int(h[at + length]) - int(h[at])) * pow(i, at, p) % p for h, i, p in zip(self.h, _INVERSES, PRIMES))
 
     def same(self, at: int, other: PrefixArray, there: int, length: int) -> bool:
         return self.span(at, length) == other.span(there, length)
 
-    def extension(self, at: int, other: PrefixArray, there: int) -> int:
-        """The length of the longest common span from the two places."""
-        low, high = 0, min(self.n - at, other.n - there)
+    def _longest(self, same, most: int) -> int:
+        """The greatest length, most at most, for which same holds: doubled, then halved in."""
+        low, high = 0, 1
+        while high <= most and same(high):
+            low, high = high, 2 * high
+        high = min(high - 1, most)
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.same(at, other, there, mid) else (low, mid - 1)
+            low, high = (mid, high) if same(mid) else (low, mid - 1)
         return low
 
+    def extension(self, at: int, other: PrefixArray, there: int) -> int:
+        """The length of the longest common span from the two places."""
+        return self._longest(lambda k: self.same(at, other, there, k), min(self.n - at, other.n - there))
+
+    def extension_back(self, end: int, other: PrefixArray, there: int, most: int) -> int:
+        """The length of the longest common span up to the two places, most at most."""
+        return self._longest(lambda k: self.same(end - k, other, there - k, k), most)
+
+    def spans(self, low: int, high: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(place, first residues of the spans of SPAN code points from there on), in chunks.
+
+        All spans lie within low and high; the residues are the same wherever a span is.
+        """
+        p, h = np.uint64(PRIMES[0]), self.h[0]
+        for at in range(low, high - SPAN + 1, CHUNK):
+            to = min(at + CHUNK, high - SPAN + 1)
+            inner = (h[at + SPAN : to + SPAN].astype(np.uint64) + p - h[at:to]) * _SCALES[: to - at] % p
+            yield at, inner * np.uint64(pow(_INVERSES[0], at, PRIMES[0])) % p
+
+
+def shared_spans(a: PrefixArray, b: PrefixArray) -> int:
+    """How many code points of the longer text are in spans that it shares with the other.
+
+    The common beginning and end count at any length, spans in between if they hold a block
+    of SPAN code points of the shorter text's middle, cut every SPAN; never more than the
+    shorter text has.
+    """
+    if a.n > b.n:
+        a, b = b, a
+    front = a.extension(0, b, 0)
+    back = a.extension_back(a.n, b, b.n, a.n - front)
+    low, high_a, high_b, shared = front, a.n - back, b.n - back, front + back
+    if high_a - low < SPAN:
+        return shared
+    blocks = np.concatenate([x[(low - at) % SPAN :: SPAN] for at, x in a.spans(low, high_a)])
+    known, first = np.unique(blocks, return_index=True)
+    done, diagonal = low, None
+    for at, marks in b.spans(low, high_b):
+        spot = np.minimum(np.searchsorted(known, marks), len(known) - 1)
+        hits = np.flatnonzero(known[spot] == marks)
+        k = int(np.searchsorted(hits, done - at))
+        while k < len(hits):
+            j = at + int(hits[k])
+            i = low + int(first[spot[hits[k]]]) * SPAN
+            # The diagonal of the span before goes first, so that an edit does not change it.
+            if diagonal is not None and low <= j - diagonal <= high_a - SPAN and a.same(j - diagonal, b, j, SPAN):
+                i = j - diagonal
+            length = min(a.extension(i, b, j), high_a - i, high_b - j)
+            if length >= SPAN:
+                before = a.extension_back(i, b, j, min(i - low, j - done))
+                shared, done, diagonal = shared + before + length, j + length, j - i
+                k = int(np.searchsorted(hits, done - at))
+            else:
+                k += 1
+    return min(shared, a.n)
+
+
+def nearness(a: PrefixArray, b: PrefixArray) -> float:
+    """The shared spans of two texts as a share of the longer one, 0 to 1."""
+    return shared_spans(a, b) / max(a.n, b.n) if max(a.n, b.n) else 1.0
+
 
 def step_of(n: int) -> int:
     return max(1, 1 << max(0, (n - 1) // GRID).bit_length())
@@ -129,7 +203,8 @@ def _common(a: str, b: str, step_a: int, step_b: int, most: int) -> int:
 
 
 def likeness(a: str, b: str) -> float:
-    """The common beginning and end of two texts as a share of the longer one, 0 to 1."""
+    """From fingerprints alone, on their grid: the common beginning and end of two texts as a
+    share of the longer one, 0 to 1."""
     if a == b:
         return 1.0
     n_a, _, front_a, back_a = a.split(":")
@@ -175,33 +250,35 @@ def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text, of its edited text, and their likenesses.
+    """Fingerprints of every text and of its edited text, and the nearness of the text to the
+    edited and to the next one.
 
     The edited text replaces the last floor(n_chars / 3) code points by the first as many, or
     all, of the next document in falling doc_id; after the last comes the first. Returns
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Defined cases: a null text counts as empty; the likeness of two empty texts is 1, of an
+    Defined cases: a null text counts as empty; the nearness of two empty texts is 1, of an
     empty and another one 0; rows without doc_id come last; repeated rows follow one another
     in the order of their texts; a single row is its own next one; an empty table gives an
     empty result; further columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # (part, doc_id, text, fingerprint) of the row that waits for its next one
+        last = None  # (part, doc_id, text, fingerprint, prefix array) of the row that waits for its next one
         for batch in batches:
             out = []
             for part, doc_id, text, ahead in zip(batch["part"], batch["doc_id"], batch["text"], batch["ahead"]):
-                mark = None
+                mark = array = None
                 if last is not None and last[0] == part:
                     mark = fingerprint(text)
                     changed = edited(last[2], text)
-                    changed_mark = fingerprint(changed)
-                    out.append((last[1], len(last[2]), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), last[3], changed_mark, likeness(last[3], changed_mark), likeness(last[3], mark)))
+                    array = last[4] if text == last[2] else PrefixArray(text)
+                    near_edited, near_next = nearness(last[4], PrefixArray(changed)), nearness(last[4], array)
+                    out.append((last[1], len(last[2]), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), last[3], fingerprint(changed), near_edited, near_next))
                 if ahead:
                     last = None if last is None or last[0] == part else last
                 else:
-                    last = (part, doc_id if doc_id is not None and doc_id == doc_id else None, text, mark or fingerprint(text))
+                    last = (part, doc_id if doc_id is not None and doc_id == doc_id else None, text, mark or fingerprint(text), array or PrefixArray(text))
             frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame

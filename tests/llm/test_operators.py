@@ -268,6 +268,39 @@ def test_fingerprints(spark, awkward, monkeypatch):
     assert fingerprints.fingerprint_documents(awkward.where("false")).count() == 0
 
 
+def test_nearness():
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    near = lambda a, b: fingerprints.nearness(fingerprints.PrefixArray(a), fingerprints.PrefixArray(b))
+    base = prose(10_000)
+    twice = base[:300] + "X" + base[301:9_700] + "X" + base[9_701:]
+    assert near(base, twice) == near(twice, base) == 9_998 / 10_000
+    inserted = base[:100] + "X" + base[100:5_000] + "XYZ" + base[5_000:9_990] + "X" + base[9_990:]
+    assert near(base, inserted) == 10_000 / len(inserted)
+    assert near(base, base[6_000:] + base[:6_000]) > 0.99
+    middle = prose(500)
+    assert 500 / 3_500 <= near(prose(1_000) + middle + prose(2_000), prose(400) + middle + prose(90)) < 520 / 3_500
+    assert near("a" * 100, "a" * 1_000) == 0.1 and near("", "") == 1.0 and near("", "a") == 0.0 and near("abc", "abd") == 2 / 3
+    assert near(prose(3_000), prose(3_000)) < 0.01
+    long = prose(3 * fingerprints.CHUNK)
+    assert near(long, "X" + long[: fingerprints.CHUNK - 9] + "Y" + long[fingerprints.CHUNK - 9 :] + "Z") > 0.9999
+    span = fingerprints.SPAN
+    for _ in range(100):
+        # A shared span of 2 * SPAN - 1 is found wherever it is.
+        shared, a, b = prose(2 * span - 1), prose(rng.randrange(1, 300)), prose(rng.randrange(1, 300))
+        i, j = rng.randint(0, len(a)), rng.randint(0, len(b))
+        one, two = "A" + a[:i] + shared + a[i:] + "A", "B" + b[:j] + shared + b[j:] + "B"
+        assert near(one, two) >= len(shared) / max(len(one), len(two))
+
+
+def test_near_columns(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(10_000))
+    got = fingerprints.fingerprint_documents(docs_of(spark, [(2, base), (1, base[:300] + "X" + base[301:9_700] + "X" + base[9_701:])])).collect()
+    assert {r.near_next for r in got} == {0.9998}
+    assert all(r.near_edited >= 0.6667 for r in got)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, None, "a b"), (2, "http://x y/", "a b"), (3, None, None), (4, "", ""), (None, "u", ""), (4, "", ""), (5, "http://z/", "é" * 100_000)]
     pages = spark.createDataFrame([(*r, "p", "o") for r in rows], "page_id long, url string, html string, path string, offset string")

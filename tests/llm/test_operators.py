@@ -324,6 +324,32 @@ def test_licences(spark):
     assert {r.doc_id: r.score for r in got} == pytest.approx(brute)
 
 
+def test_whole_licences(spark):
+    full = {name: licences._file(name) for name in ("BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "Apache-2.0", "MPL-2.0", "CC-BY-SA-4.0", "MIT")}
+    wrapped = lambda t, mark: "\n".join(mark + " ".join(w) for w in [t.split()[i : i + 9] for i in range(0, len(t.split()), 9)])
+    code = "\n\nint main(void) {\n  puts(value);\n  return total;\n}\n" * 40
+    cases = [(f"Copyright (c) 2020 Jane Doe\n\n{t}", name) for name, t in full.items()]
+    cases += [
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "BSD-3-Clause"),
+        (wrapped(licences._header("program", "GNU General Public License", "2"), "# ") + code, "GPL-2.0"),
+        (wrapped(licences._header("program", "GNU General Public License", "3"), "// ") + code, "GPL-3.0"),
+        ("/*\n" + wrapped(licences._header("library", "GNU Lesser General Public License", "2.1"), " ") + "\n*/" + code, "LGPL-2.1"),
+        (wrapped(licences._header("program", "GNU Affero General Public License", "3"), "# ") + code, "AGPL-3.0"),
+        (wrapped(full["MIT"], "# ") + code, "MIT"),
+        (full["CC-BY-SA-4.0"].replace("ShareAlike", "NonCommercial"), "CC-BY-NC-4.0"),
+        (full["BSD-3-Clause"].replace("3. Neither", "3. All advertising materials must say so.\n4. Neither"), "BSD-4-Clause"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY 3.0.", None), ("Licensed under the Apache License, Version 1.1.", None),
+        ("The river rose over the old bridge and the people of the town went up to the hill to see it. " * 20, None),
+    ]
+    files = [(i, f"r{i}/x", t) for i, (t, _) in enumerate(cases)] + [(100, "r/x", None), (101, "r/x", ""), (102, "r/x", cases[0][0]), (102, "r/x", cases[0][0])]
+    got = licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()
+    by = {r.doc_id: r.own_licence for r in got}
+    assert len(got) == len(files) and by[100] is None and by[101] is None and by[102] == "BSD-2-Clause"
+    assert [(i, name, by[i]) for i, (_, name) in enumerate(cases) if by[i] != name] == []
+
+
 def licence_brute(files):
     """Cosines of all sentences with all templates, without anchors."""
     n, out = len(files), {}

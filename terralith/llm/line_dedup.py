@@ -6,7 +6,8 @@ is added as a sorted run of (hash, documents, largest doc_id). Once a level hold
 ``fanout`` runs they are compacted into one run of the next level; a compaction moves keys
 that have reached the threshold to the frequent runs. Because the batches fall in doc_id,
 the largest holder of a frequent key is known when it gets there, so later batches need
-not count that key at all.
+not count that key at all. It may stand in an older run of a higher level; closing merges
+the frequent runs with all the others.
 """
 
 from __future__ import annotations
@@ -85,10 +86,14 @@ class LineRuns:
         return merged.where(~enough)
 
     def close(self) -> DataFrame:
-        """Compacts what is left; returns (h1, h2, n_docs, last_doc) of all frequent keys."""
+        """Compacts what is left; returns (h1, h2, n_docs, last_doc) of all frequent keys.
+
+        A key that became frequent may have its largest holders in a run of a higher level
+        than the compaction that found it, so the frequent runs are merged with all others.
+        """
         if left := [run for level in self.levels for run in level]:
+            left, self.frequent, self.levels = left + self.frequent, [], [[]]
             self._compacted(left, last=True)
-            self.levels = [[]]
         return reduce(DataFrame.unionByName, self.frequent)
 
 

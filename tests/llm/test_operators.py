@@ -70,6 +70,19 @@ def test_line_dedup(spark, awkward, batches):
     assert by[1, 1] == (0, "") and by[2, 1] == (0, "")
 
 
+@pytest.mark.parametrize("batches", [4, 8])
+def test_line_dedup_in_many_batches(spark, batches):
+    """Lines whose holders are spread over the levels of runs."""
+    n = 80
+    line = lambda k: f"line number {k} that is long enough to be counted as one"
+    rng = random.Random(6)
+    holders = {0: {75, 45, *range(2, 12, 2)}, 1: {78, 70, 21, 22, 23, 24, 25}} | {k: set(rng.sample(range(n), rng.randrange(3, 9))) for k in range(2, 30)}
+    texts = {i: "\n".join(line(k) for k in holders if i in holders[k]) for i in range(n)}
+    kept = {i: "\n".join(line(k) for k in holders if i in holders[k] and (len(holders[k]) < 5 or i == max(holders[k]))) for i in range(n)}
+    got = line_dedup.dedup_lines(docs_of(spark, list(texts.items())), batches=batches).select("caller_row.doc_id", "kept_text").collect()
+    assert {r.doc_id: r.kept_text for r in got} == kept
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
     return frozenset(zip(*(words[i:] for i in range(5)))) if len(words) >= 5 else frozenset([tuple(words)]) if words else frozenset()

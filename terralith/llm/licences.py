@@ -304,8 +304,8 @@ def best_licence(text: Column, idf: dict[str, float], n: int, threshold: float)
 
 
 def _parents(path: Column) -> Column:
-    """The directory of a path; null where there is none."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", ""))
+    """The directory of a path; the empty one is the root."""
+    return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -315,7 +315,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     path itself, the directory that it is inherited from, or null.
 
     Defined cases: null and empty texts have no licence of their own; a null path inherits
-    nothing; a file that is no licence file gives its licence to itself alone; of several
+    nothing; the root, '', is above every directory, whether paths begin with '/' or not; a file that is no licence file gives its licence to itself alone; of several
     licence files in a directory the highest score counts, then the first template; a text or
     leading comment that matches as a whole has that licence, whatever its sentences say;
     versions and clauses without a template give no licence; repeated
@@ -342,6 +342,8 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dirs = found.where("dir is not null").select("dir").distinct()
     steps = F.split("dir", "/", -1)
     chain = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    # The root comes first; the chain of an absolute path begins with it already.
+    chain = F.array_distinct(F.concat(F.array(F.lit("")), chain))
     # A directory's chain is as long as its path is deep.
     inherited = dirs.select("dir", F.posexplode(chain).alias("depth", "above")).join(of_dir, "above")
     inherited = inherited.groupBy("dir").agg(F.max(F.struct("depth", "above", "licence")).alias("h")).select("dir", F.col("h.above").alias("above"), F.col("h.licence").alias("from_above"))

@@ -337,6 +337,13 @@ def test_licences(spark):
     assert {r.doc_id: r.score for r in got} == pytest.approx(brute)
 
 
+def test_licence_at_the_root(spark):
+    files = [(1, "LICENSE", "Released under the MIT License."), (2, "a", ""), (3, "b/c", ""), (4, "d/e/f", None), (5, "d/LICENSE", "Licensed under CC BY 4.0."), (6, None, "")]
+    got = licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()
+    mit, cc = ("MIT", ""), ("CC-BY-4.0", "d")
+    assert {r.doc_id: (r.licence, r.licensed_by) for r in got} == {1: ("MIT", "LICENSE"), 2: mit, 3: mit, 4: cc, 5: ("CC-BY-4.0", "d/LICENSE"), 6: (None, None)}
+
+
 def test_whole_licences(spark):
     full = {name: licences._file(name) for name in ("BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "Apache-2.0", "MPL-2.0", "CC-BY-SA-4.0", "MIT")}
     wrapped = lambda t, mark: "\n".join(mark + " ".join(w) for w in [t.split()[i : i + 9] for i in range(0, len(t.split()), 9)])

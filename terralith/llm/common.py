@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,14 +17,17 @@ ROW = "caller_row"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests, a single machine)
-    a temporary folder is made and set as the checkpoint folder.
+    It is ``spark.checkpoint.dir``. Only a session on a single machine (tests) may leave that
+    unset: a temporary folder is made and set for it. On a cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="terralith-")
         sc.setCheckpointDir(base)
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
     return base.rstrip("/")
 
 
@@ -31,16 +36,35 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/terralith/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Paths of the working tables that nothing has deleted yet.
+_WORKING: list[str] = []
+
+
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Writes a working table to the shared folder and reads it back, which cuts the lineage.
 
-    The files outlive any executor, so a later stage never recomputes what came before.
+    The files outlive any executor, so a later stage never recomputes what came before. ``by``
+    names a column that gets a folder of its own for each value, so that a filter on it reads
+    just these. Results are read from working tables, so they stay until ``delete_since``.
     """
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    _WORKING.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def working_mark() -> int:
+    return len(_WORKING)
+
+
+def delete_since(spark: SparkSession, mark: int) -> None:
+    """Deletes the working tables written since the mark, once what was made of them is written."""
+    while len(_WORKING) > mark:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WORKING.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -2,9 +2,11 @@
 
 Each text becomes a vector of document statistics. Random Fourier features approximate a
 Gaussian kernel over the standardised statistics; every partition sums its part of the
-normal equations, the sums of a matrix row are added by one task each, and the driver
-solves a system of ``features`` unknowns. Scores of the labelled rows are binned and a
-monotone step function (pool adjacent violators) turns them into probabilities.
+normal equations, one set for each fold of the labelled rows, the sums of a matrix row are
+added by one task each, and the driver solves systems of ``features`` unknowns. For the
+calibration each labelled row is scored by the weights of the other folds. These scores are
+binned, pooled to a monotone sequence (pool adjacent violators) and joined by straight lines
+from bin to bin, which turns raw scores into probabilities.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import col, held_out, remainder_is_training, small_batches, stored
 
-FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 3.0, 1e-3, 1000, 11
+FEATURES, WIDTH, RIDGE, BINS, SEED, FOLDS = 256, 3.0, 1e-3, 1000, 11, 4
 #: At most about so many labelled rows are learned from; beyond, a hash of doc_id picks them.
 MAX_ROWS = 200_000
 THRESHOLD = 0.5
@@ -119,40 +121,45 @@ def pooled(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(doc_id, y, stats) of the labelled training rows, one label a document."""
+    """(doc_id, y, fold, stats) of the labelled training rows, one label a document."""
     y = labels.select(col("doc_id").alias("doc_id"), col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
-    y = y.where(remainder_is_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+    y = stored(y.where(remainder_is_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")), "labels")
     if (n := y.count()) > max_rows:
         y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
     texts = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text")).where("doc_id is not null").where(remainder_is_training(F.col("doc_id")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "stats": list(matrix(b["text"]))})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "fold": b["fold"], "stats": list(matrix(b["text"]))})
 
-    return stored(texts.join(y, "doc_id").select("doc_id", "text", "y").mapInPandas(run, "doc_id long, y double, stats array<double>"), "labelled-statistics")
+    # About max_rows rows of 16 bytes at most are broadcast, so that no text is shuffled.
+    mine = texts.join(F.broadcast(y), "doc_id").select("doc_id", "text", "y", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(FOLDS)).alias("fold"))
+    return stored(mine.mapInPandas(run, "doc_id long, y double, fold long, stats array<double>"), "labelled-statistics")
 
 
 def _sums(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The normal equations, summed in each partition and then by matrix row."""
+    """The normal equations of each fold, summed in each partition and then by matrix row."""
     size = len(model.phases) + 1
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size + 1))
+        totals: dict[int, np.ndarray] = {}
         for b in batches:
-            if len(b):
-                f = model.features(np.array(b["stats"].tolist()))
+            for fold, group in b.groupby("fold"):
+                total = totals.setdefault(int(fold), np.zeros((size, size + 1)))
+                f = model.features(np.array(group["stats"].tolist()))
                 total[:, :size] += f.T @ f
-                total[:, size] += f.T @ b["y"].to_numpy()
-        yield pd.DataFrame({"i": np.arange(size), "sums": list(total)})
+                total[:, size] += f.T @ group["y"].to_numpy()
+        for fold, total in totals.items():
+            yield pd.DataFrame({"fold": fold, "i": np.arange(size), "sums": list(total)})
 
     def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [key[0]], "sums": [np.sum(np.stack(group["sums"].to_list()), axis=0)]})
+        return pd.DataFrame({"fold": [key[0]], "i": [key[1]], "sums": [np.sum(np.stack(group["sums"].to_list()), axis=0)]})
 
-    out = rows.mapInPandas(part, "i long, sums array<double>").groupBy("i").applyInPandas(added, "i long, sums array<double>")
-    got = {r["i"]: r["sums"] for r in out.collect()}
-    whole = np.array([got.get(i, np.zeros(size + 1)) for i in range(size)])
-    return whole[:, :size], whole[:, size]
+    schema = "fold long, i long, sums array<double>"
+    whole = np.zeros((FOLDS, size, size + 1))
+    for r in rows.mapInPandas(part, schema).groupBy("fold", "i").applyInPandas(added, schema).collect():
+        whole[r["fold"], r["i"]] = r["sums"]
+    return whole[:, :, :size], whole[:, :, size]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", features: int = FEATURES, max_rows: int = MAX_ROWS) -> Model:
@@ -173,12 +180,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", features: in
         return model
 
     a, b = _sums(rows, model)
-    model.weights = np.linalg.solve(a + RIDGE * n * np.eye(len(a)), b)
+    solved = lambda a, b: np.linalg.solve(a + RIDGE * n * np.eye(len(a)), b)
+    model.weights = solved(a.sum(axis=0), b.sum(axis=0))
+    others = np.array([solved(a.sum(axis=0) - a[k], b.sum(axis=0) - b[k]) for k in range(FOLDS)])
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                raw = model.raw(np.array(batch["stats"].tolist()))
+                raw = (model.features(np.array(batch["stats"].tolist())) * others[batch["fold"].to_numpy()]).sum(axis=1)
                 bins = np.clip(np.floor((raw + 0.5) / 2 * BINS), 0, BINS - 1).astype(np.int64)
                 yield pd.DataFrame({"bin": bins, "raw": raw, "y": batch["y"]})
 

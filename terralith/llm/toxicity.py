@@ -1,16 +1,18 @@
 """Toxicity: a sparse logistic classifier held steady under swaps of identity terms.
 
 Features are the distinct lower-case words of a text and their first letters, hashed. For each labelled text that
-names an identity term, a counterfactual is made by swapping each such term for another of
-its kind; the loss adds ``steady`` times the squared change of the logit between the two,
-which takes weight off the terms themselves. An L1 penalty (proximal gradient steps), lighter
+names an identity term, counterfactuals are made by swapping each such term for others of
+its kind; the loss adds ``steady`` times the squared change of the logit between the text and
+each of them, which takes weight off the terms themselves. An L1 penalty (proximal gradient steps), lighter
 on words of strong evidence, keeps only words that matter, so long texts gather no score from their many neutral words.
+Evidence is counted over the labelled rows by Spark; only features that have some reach the driver.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from zlib import crc32
 
 import numpy as np
@@ -18,15 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, held_out, remainder_is_training, small_batches
+from .common import col, held_out, remainder_is_training, small_batches, stored
 
 BITS, STEADY, SPARSE, STEPS, LEAST_EVIDENCE = 20, 4.0, 1e-4, 600, 4.0
-#: At most so many labelled rows are learned from; a hash of doc_id picks them.
+#: About so many labelled rows are learned from at most; a hash of doc_id picks them.
 MAX_ROWS = 12_000
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
+#: Counterfactuals of a text at most: the k-th swaps each term for the k-th after it in its kind.
+SWAPS = 2
 
-#: Kinds of identity terms; a swap stays within a kind. Fixed values.
+#: Kinds of identity terms in English, German, French and Spanish; a swap stays within a kind. Fixed values.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "transgender"),
     ("woman", "man", "girl", "boy"),
@@ -37,10 +41,24 @@ IDENTITY_TERMS = (
     ("immigrant", "refugee", "citizen", "foreigner", "native"),
     ("african", "asian", "european", "american", "arab", "latino"),
     ("elderly", "young", "disabled", "blind", "deaf"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwul", "lesbisch", "hetero", "bisexuell"),
+    ("einwanderer", "flüchtlinge", "bürger", "ausländer"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("immigrés", "réfugiés", "citoyens", "étrangers"),
+    ("africain", "asiatique", "européen", "américain", "arabe"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("inmigrantes", "refugiados", "ciudadanos", "extranjeros"),
+    ("africano", "asiático", "europeo", "americano", "árabe"),
 )
 
 _WORD = re.compile(r"[^\W_]+")
-_NEXT = {t: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, t in enumerate(kind)}
 
 
 def words(text: str | None) -> set[str]:
@@ -57,17 +75,26 @@ def row(found: set[str]) -> np.ndarray:
     return np.array(sorted({b for w in found for b in buckets(w)}), dtype=np.int32)
 
 
-def swapped(found: set[str]) -> set[str]:
-    """The words of the counterfactual: identity terms move one on within their kind."""
-    return {_NEXT.get(w, w) for w in found}
+class Swaps:
+    """The counterfactuals of sets of words, by kinds of terms."""
+
+    def __init__(self, kinds: Sequence[Sequence[str]], most: int = SWAPS):
+        self.maps: list[dict[str, str]] = [{} for _ in range(most)]
+        for kind in kinds:
+            for k in range(min(most, len(kind) - 1)):
+                for i, term in enumerate(kind):
+                    self.maps[k].setdefault(term, kind[(i + k + 1) % len(kind)])
+
+    def of(self, found: set[str]) -> list[set[str]]:
+        return [{m.get(w, w) for w in found} for m in self.maps if found & m.keys()]
 
 
 class Rows:
-    """Sparse 0/1 rows over the buckets that occur in at least two of them."""
+    """Sparse 0/1 rows over numbered features."""
 
     def __init__(self, rows: list, width: int):
         self.at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.cols = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if rows else np.zeros(0, dtype=np.int64)
+        self.cols = np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray(r, dtype=np.int64) for r in rows)])
         self.n, self.width = len(rows), width
 
     def times(self, w: np.ndarray) -> np.ndarray:
@@ -77,41 +104,30 @@ class Rows:
         return np.bincount(self.cols, weights=v[self.at], minlength=self.width)
 
 
-def evidence(rows: list, y: np.ndarray) -> np.ndarray:
-    """For each bucket, how many standard errors apart its shares in the two classes are."""
-    size = 1 << BITS
-    sides = [[np.asarray(r, dtype=np.int64) for r, v in zip(rows, y > 0) if v == side] for side in (True, False)]
-    counts = [np.bincount(np.concatenate(side), minlength=size) if side else np.zeros(size) for side in sides]
-    n = [max(1, len(side)) for side in sides]
-    p = (counts[0] + counts[1] + 1) / (n[0] + n[1] + 2)
-    return (counts[0] / n[0] - counts[1] / n[1]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
-
-
-def train(rows: list, others: list, y: np.ndarray, steady: float = STEADY, steps: int = STEPS) -> tuple[dict[int, float], float]:
-    """Weights by bucket and the bias; others[i] is the counterfactual of rows[i].
+def train(rows: list, others: list[list], y: np.ndarray, strength: np.ndarray, steady: float = STEADY, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights of the features and the bias; others[i] has the counterfactuals of rows[i].
 
-    Only buckets whose shares in the classes differ by LEAST_EVIDENCE standard errors get a
-    weight, and the L1 penalty of a bucket falls with the square of that evidence.
+    strength is a feature's evidence: how many standard errors apart its shares in the
+    classes are. The L1 penalty of a feature falls with the square of it.
     """
     if not len(y):
-        return {}, 0.0
+        return np.zeros(len(strength)), 0.0
     pos, total = float(y.sum()), float(len(y))
     bias = float(np.log((pos + 0.5) / (total - pos + 0.5)))
-    strength = np.abs(evidence(rows, y))
-    kept = np.flatnonzero(strength >= LEAST_EVIDENCE)
-    penalty = SPARSE * (LEAST_EVIDENCE / strength[kept]) ** 2
-    place = np.full(1 << BITS, -1)
-    place[kept] = np.arange(len(kept))
-    local = [[c[c >= 0] for c in (place[np.asarray(r, dtype=np.int64)] for r in side)] for side in (rows, others)]
-    x, x2 = Rows(local[0], len(kept)), Rows(local[1], len(kept))
-    differs = np.array([not np.array_equal(np.sort(a), np.sort(b)) for a, b in zip(*local)], dtype=float)
-    w = np.zeros(len(kept))
-    g2, gb2 = np.full(len(kept), 1e-8), 1e-8
+    penalty = SPARSE * (LEAST_EVIDENCE / strength) ** 2
+    pairs = [(i, other, 1 / len(mine)) for i, mine in enumerate(others) for other in mine]
+    x = Rows(rows, len(strength))
+    own, swapped = Rows([rows[i] for i, _, _ in pairs], len(strength)), Rows([other for _, other, _ in pairs], len(strength))
+    share = np.array([s for _, _, s in pairs])
+    w = np.zeros(len(strength))
+    g2, gb2 = np.full(len(strength), 1e-8), 1e-8
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x.times(w) + bias, -30, 30)))
         g = (p - y) / total
-        change = differs * (x.times(w) - x2.times(w)) * 2 * steady / total
-        grad = x.back(g) + x.back(change) - x2.back(change)
+        grad = x.back(g)
+        if len(pairs):
+            change = (own.times(w) - swapped.times(w)) * share * 2 * steady / total
+            grad = grad + own.back(change) - swapped.back(change)
         g2 += grad * grad
         rate = 0.5 / np.sqrt(g2)
         w = w - rate * grad
@@ -119,7 +135,7 @@ def train(rows: list, others: list, y: np.ndarray, steady: float = STEADY, steps
         gb = g.sum()
         gb2 += gb * gb
         bias -= 0.5 * gb / np.sqrt(gb2)
-    return {int(kept[i]): float(w[i]) for i in np.flatnonzero(w)}, float(bias)
+    return w, float(bias)
 
 
 class Model:
@@ -145,29 +161,58 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
+def evidence(rows: DataFrame) -> dict[int, float]:
+    """The features whose shares in the classes differ by LEAST_EVIDENCE standard errors, and by how many they do.
+
+    rows has y and own; there are at most 2**BITS features.
+    """
+    counts = rows.select((F.col("y") > 0).alias("toxic"), F.explode("own").alias("bucket"))
+    counts = counts.groupBy("bucket").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+    n = rows.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
+    a, b = max(1, n[0]), max(1, n[1])
+    p = (F.col("a") + F.col("b") + 1) / (a + b + 2)
+    apart = F.abs(F.col("a") / a - F.col("b") / b) / F.sqrt(p * (1 - p) * (1 / a + 1 / b))
+    return {r["bucket"]: r["strength"] for r in counts.select("bucket", apart.alias("strength")).where(F.col("strength") >= LEAST_EVIDENCE).collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS, steady: float = STEADY) -> Model:
     """Learns from labelled rows whose crc32(doc_id) mod 3 is not 1."""
     small_batches(docs.sparkSession)
     y = labels.select(col("doc_id").alias("doc_id"), col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
-    y = y.where(remainder_is_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    n = y.count()
+    y = stored(y.where(remainder_is_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")), "labels")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    y = y.where(share < int(min(1.0, 0.95 * max_rows / max(n, 1)) * (1 << 20)))
+    y = y.where(share < math.ceil(min(1.0, 0.95 * max_rows / max(y.count(), 1)) * (1 << 20)))
     texts = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text")).where(remainder_is_training(F.col("doc_id")))
+    swaps = Swaps(kinds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [words(t) for t in batch["text"]]
-            own = [row(f) for f in found]
-            other = [row(swapped(f)) if f & _NEXT.keys() else None for f in found]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "own": own, "other": other})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "own": [row(f) for f in found], "others": [[row(o) for o in swaps.of(f)] for f in found]})
+
+    # About max_rows rows of 16 bytes at most are broadcast, so that no text is shuffled.
+    got = texts.join(F.broadcast(y), "doc_id").select("doc_id", "text", "y").mapInPandas(run, "doc_id long, y double, own array<int>, others array<array<int>>")
+    rows = stored(got, "toxic-words")
+    strength = evidence(rows)
+    kept = np.array(sorted(strength), dtype=np.int64)
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.full(1 << BITS, -1)
+        place[kept] = np.arange(len(kept))
+
+        def mine(buckets_: np.ndarray) -> np.ndarray:
+            c = place[np.asarray(buckets_, dtype=np.int64)]
+            return c[c >= 0].astype(np.int32)
+
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "own": [mine(r) for r in batch["own"]], "others": [[mine(o) for o in side] for side in batch["others"]]})
 
-    got = texts.join(y, "doc_id").select("doc_id", "text", "y").mapInPandas(run, "doc_id long, y double, own array<int>, other array<int>")
-    # Not more than max_rows rows; each has the distinct words of one text.
-    table = got.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).drop("doc_id").toArrow()
-    y_, own = table["y"].to_numpy(), [r.values.to_numpy() for r in table["own"]]
-    other = [b.values.to_numpy() if b.is_valid else a for a, b in zip(own, table["other"])]
-    return Model(*train(own, other, y_))
+    # Of each row the features with evidence alone; doc_id gives the order, so that sums come out alike.
+    table = rows.mapInPandas(known, rows.schema).orderBy(F.xxhash64("doc_id"), "doc_id", F.size("own")).toArrow()
+    own = [r.values.to_numpy() for r in table["own"]]
+    others = [[o for o in (np.asarray(v, dtype=np.int64) for v in r.as_py()) if not np.array_equal(o, mine)] for r, mine in zip(table["others"], own)]
+    weights, bias = train(own, others, table["y"].to_numpy(), np.array([strength[k] for k in kept.tolist()]), steady)
+    return Model({int(kept[i]): float(weights[i]) for i in np.flatnonzero(weights)}, bias)
 
 
 def scorer(model: Model):
@@ -182,15 +227,16 @@ def scorer(model: Model):
     return score
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
     Defined cases: null and empty texts have no words and get the score of the bias alone; a
     row without doc_id is scored, never learned from, and not held out; repeated rows get
     equal rows; of several labels of a document the largest counts; without labels all
-    scores are 0.5; an empty table gives an empty result; further columns are ignored.
+    scores are 0.5; an empty table gives an empty result; further columns are ignored. Options
+    are those of ``fit``: the kinds of identity terms, the weight of the swaps, the row bound.
     """
-    score = scorer(fit(docs, labels))
+    score = scorer(fit(docs, labels, **options))
     out = docs.select(col("doc_id").alias("doc_id"), score(col("text")).alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

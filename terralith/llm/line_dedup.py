@@ -1,13 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame functions only).
 
-Documents are taken in batches of falling doc_id. Each batch's line hashes are
-merge-anti-joined with the keys that the runs already hold as frequent, and what is left
-is added as a sorted run of (hash, documents, largest doc_id). Once a level holds
-``fanout`` runs they are compacted into one run of the next level; a compaction moves keys
-that have reached the threshold to the frequent runs. Because the batches fall in doc_id,
-the largest holder of a frequent key is known when it gets there, so later batches need
-not count that key at all. It may stand in an older run of a higher level; closing merges
-the frequent runs with all the others.
+The hashes of the long lines of each text are written once. Documents are then taken in
+batches of falling doc_id. Each batch's line hashes are merge-anti-joined with those of the
+runs that are settled, that is, already found in enough documents, and what is left is added
+as a sorted run of (hash, documents, largest doc_id). Once a level holds ``fanout`` runs they
+are compacted into one run of the next level, which settles keys whose counts now add up.
+Because the batches fall in doc_id, the largest holder of a key is known once any run has it,
+so a settled key need not be counted any more. Counts and largest holders of a key that stand
+in several runs come together when closing merges all runs.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .common import ROW, col, packed, stored, unpacked
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Up to so many frequent keys (24 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 200_000
+#: Hot keys are broadcast: at most so many, the commonest ones among the lines of every SAMPLE-th document.
+HOT_KEYS, SAMPLE = 10_000, 1000
 
 
 def lines_of(text: Column) -> Column:
@@ -46,25 +46,36 @@ def hashes_of(text: Column, min_chars: int) -> Column:
     return F.transform(keys, lambda k: hash_of(k, min_chars))
 
 
+def hash_table(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, text_hash, hashes) of the rows of (doc_id, text) that have a long line; hashes as ``hashes_of`` gives."""
+    hashes = hashes_of(F.col("text"), min_chars)
+    rows = docs.where("doc_id is not null").select("doc_id", text_hash(F.col("text")).alias("text_hash"), hashes.alias("hashes"))
+    return rows.where(F.exists("hashes", lambda h: h.isNotNull()))
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.lit(2), text)
+
+
 class LineRuns:
-    """The levels of sorted runs, and the frequent keys that compactions have found."""
+    """The levels of sorted runs; a run's settled keys are in a folder of their own."""
 
-    def __init__(self, min_chars: int = 40, min_docs: int = 5, fanout: int = 2):
-        self.min_chars, self.min_docs, self.fanout = min_chars, min_docs, fanout
+    def __init__(self, min_docs: int = 5, fanout: int = 2):
+        self.min_docs, self.fanout = min_docs, fanout
         self.levels: list[list[DataFrame]] = [[]]
-        self.frequent: list[DataFrame] = []
 
-    def add(self, docs: DataFrame) -> None:
-        """Adds a batch of (doc_id, text) whose doc_ids are all below those of earlier batches."""
-        lines = docs.where("doc_id is not null").select("doc_id", F.explode(F.filter(F.array_distinct(hashes_of(F.col("text"), self.min_chars)), lambda h: h.isNotNull())).alias("h")).select("doc_id", "h.h1", "h.h2")
-        for run in self.frequent:
-            if run.count() <= BROADCAST_KEYS:
-                run = F.broadcast(run)
-            lines = lines.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self._push(0, self._sorted(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))))
+    def add(self, batch: DataFrame) -> None:
+        """Adds a batch of (doc_id, hashes) whose doc_ids are all below those of earlier batches."""
+        lines = batch.select("doc_id", F.explode(F.array_distinct("hashes")).alias("h")).where("h is not null").select("doc_id", "h.h1", "h.h2")
+        for run in (run for level in self.levels for run in level):
+            # Spark broadcasts the settled keys if their files are small, else it merges.
+            lines = lines.join(run.where("settled").select("h1", "h2"), ["h1", "h2"], "left_anti")
+        self._push(0, self._written(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))))
 
-    def _sorted(self, run: DataFrame) -> DataFrame:
-        return stored(run.sortWithinPartitions("h1", "h2"), "line-run")
+    def _written(self, run: DataFrame) -> DataFrame:
+        run = run.withColumn("settled", F.col("n_docs") >= self.min_docs)
+        return stored(run.sortWithinPartitions("settled", "h1", "h2"), "line-run", by="settled")
 
     def _push(self, level: int, run: DataFrame) -> None:
         if len(self.levels) == level:
@@ -72,43 +83,39 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            self._push(level + 1, self._compacted(runs, last=False))
+            self._push(level + 1, self._written(self._merged(runs)))
 
-    def _compacted(self, runs: list[DataFrame], last: bool) -> DataFrame | None:
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
         union = reduce(DataFrame.unionByName, runs)
-        merged = union.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-        enough = F.col("n_docs") >= self.min_docs
-        if last:
-            self.frequent.append(self._sorted(merged.where(enough)))
-            return None
-        merged = self._sorted(merged)
-        self.frequent.append(self._sorted(merged.where(enough)))
-        return merged.where(~enough)
+        return union.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def close(self) -> DataFrame:
-        """Compacts what is left; returns (h1, h2, n_docs, last_doc) of all frequent keys.
+        """(h1, h2, n_docs, last_doc) of all keys in enough documents, by merging all runs.
 
-        A key that became frequent may have its largest holders in a run of a higher level
-        than the compaction that found it, so the frequent runs are merged with all others.
+        n_docs of a key does not count the documents that came after it was settled.
         """
-        if left := [run for level in self.levels for run in level]:
-            left, self.frequent, self.levels = left + self.frequent, [], [[]]
-            self._compacted(left, last=True)
-        return reduce(DataFrame.unionByName, self.frequent)
+        return self._merged([run for level in self.levels for run in level]).where(F.col("n_docs") >= self.min_docs)
+
+
+def _batch_of(doc_id: Column, cuts: list) -> Column:
+    """The batch of a doc_id: the number of cuts above it, so that batches fall in doc_id."""
+    return reduce(lambda n, cut: n + (doc_id < cut).cast("int"), cuts, F.lit(0))
 
 
-def _batches(docs: DataFrame, n: int) -> list[DataFrame]:
-    """Up to n batches by falling ranges of doc_id; their sizes need only be roughly equal."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 1000)).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or []), reverse=True)
-    if not cuts:
-        return [docs]
-    ids = F.col("doc_id")
-    inner = [docs.where((ids < high) & (ids >= low)) for high, low in zip(cuts, cuts[1:])]
-    return [docs.where(ids >= cuts[0]), *inner, docs.where(ids < cuts[-1])]
+def dropped_places(hashes: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, places): the lines that go, by their places from 0."""
+    frequent = stored(frequent.select("h1", "h2", "last_doc"), "frequent-lines")
+    lines = hashes.select("doc_id", "text_hash", F.posexplode("hashes").alias("place", "h")).where("h is not null").select("doc_id", "text_hash", "place", "h.h1", "h.h2")
+    # The sample decides only which way a key is joined; every line is joined one way or the other.
+    seen = lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    commonest = F.broadcast(stored(seen.orderBy(F.desc("n"), "h1", "h2").limit(HOT_KEYS).select("h1", "h2"), "hot-lines"))
+    hot, cold = F.broadcast(frequent.join(commonest, ["h1", "h2"], "left_semi")), frequent.join(commonest, ["h1", "h2"], "left_anti")
+    rest = lines.join(commonest, ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"])
+    hits = lines.join(hot, ["h1", "h2"]).unionByName(rest).where("doc_id <> last_doc")
+    return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 8, fanout: int = 2) -> DataFrame:
     """Drops repeated lines, except in the document of largest doc_id that holds them.
 
     A line's key is the line without blanks at both ends and with A-Z in lower case. Keys of
@@ -122,21 +129,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     is there; an empty table gives an empty result; further columns of any name pass through.
     """
     own = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"))
-    runs = LineRuns(min_chars, min_docs, fanout)
-    for batch in _batches(own, batches):
-        runs.add(batch)
-    frequent = stored(runs.close().select("h1", "h2", "last_doc"), "frequent-lines")
-    if frequent.count() <= BROADCAST_KEYS:
-        frequent = F.broadcast(frequent)
-
-    lines = own.where("doc_id is not null").select("doc_id", F.explode(F.filter(F.array_distinct(hashes_of(F.col("text"), min_chars)), lambda h: h.isNotNull())).alias("h")).select("doc_id", "h.h1", "h.h2")
-    hits = lines.join(frequent, ["h1", "h2"]).where("doc_id <> last_doc")
-    dropped = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("dropped"))
-
-    rows = docs.select(packed(docs)).withColumn("doc_id", F.col(ROW).getField("doc_id"))
-    rows = rows.join(dropped, "doc_id", "left").withColumn("lines", lines_of(F.col(ROW).getField("text")))
-    stays = lambda line: ~F.coalesce(F.array_contains("dropped", hash_of(key_of(line), min_chars)), F.lit(False))
-    kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    cuts = own.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    cuts = sorted(set(cuts or []))
+    hashes = stored(hash_table(own, min_chars).withColumn("batch", _batch_of(F.col("doc_id"), cuts)), "line-hashes", by="batch")
+    runs = LineRuns(min_docs, fanout)
+    for number in range(len(cuts) + 1):
+        runs.add(hashes.where(F.col("batch") == number))
+    dropped = dropped_places(hashes, runs.close())
+
+    rows = docs.select(packed(docs)).withColumn("doc_id", F.col(ROW).getField("doc_id")).withColumn("text_hash", text_hash(F.col(ROW).getField("text")))
+    rows = rows.join(dropped, ["doc_id", "text_hash"], "left").withColumn("lines", lines_of(F.col(ROW).getField("text")))
+    # array_except works with a hash set, so the time for a text grows with its lines and no faster.
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("places", F.array().cast("array<int>")))
+    kept = F.when(F.col("places").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get("lines", i)))
     rows = rows.select(ROW, F.col("lines"), kept.alias("kept"))
     return rows.select(ROW, F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.concat_ws("\n", "kept").alias("kept_text"))
 

@@ -1,6 +1,7 @@
 """Near duplicates by an inverted join over the coordinates of MinHash signatures.
 
-1. Documents with equal sets of five-word shingles are one class, named by its least doc_id.
+1. Rows with equal sets of five-word shingles are one class, named by its least doc_id (by a
+   hash where rows of one doc_id have different texts, which would share that name).
 2. Each class is posted under every (coordinate, value) of its signature. Values that only
    one class has are skipped; a class with fewer than MATCHES shared values can reach no
    other and is left out at once. Of the m shared values of a class, ordered from rare to
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,7 +90,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, keys) of each document with a doc_id.
+    """(doc_id, text_hash, n_shingles, f1, f2, keys) of each row with a doc_id.
 
     f1 and f2 are 128 bits of hash of the set; keys are the posting keys, one a coordinate.
     """
@@ -101,6 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
+                    "text_hash": batch["text_hash"],
                     "n_shingles": [len(s) for s in sets],
                     "f1": _signed(np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)),
                     "f2": _signed(np.array([mixed(s ^ _STEP).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)),
@@ -108,8 +110,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    own = docs.where("doc_id is not null").select("doc_id", "text")
-    return own.mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    own = docs.where("doc_id is not null").select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
+    return own.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, keys array<long>")
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.lit(3), text)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -139,17 +146,20 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int = 0) -> DataFrame:
     """The pairs (a, b) whose full sets are similar; nodes has node, n and keys.
 
-    Sizes and signatures are compared first. A set travels with each of its pairs, but sizes
-    of a pair differ by a third at most, so no long set is dealt out to many short ones.
+    Sizes are compared first, and signatures if a number of matches is asked for. A set travels
+    with each of its pairs, but sizes of a pair differ by a third at most, so no long set is
+    dealt out to many short ones.
     """
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("keys").alias(f"keys_{name}"))
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *([F.col("keys").alias(f"keys_{name}")] if matches else []))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where((100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")))
-    agree = F.size(F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), lambda same: same))
-    both = both.where(agree >= MATCHES).select("a", "b")
+    if matches:
+        agree = F.size(F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), lambda same: same))
+        both = both.where(agree >= matches)
+    both = both.select("a", "b")
     of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
     return both.join(of("a"), "a").join(of("b"), "b").where(_alike("set_a", "set_b")).select("a", "b")
 
@@ -172,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _postings(nodes: DataFrame) -> DataFrame:
+def _postings(nodes: DataFrame, matches: int) -> DataFrame:
     """(key, node, weight): the prefix of each class's shared values, from rare to common.
 
     weight is the number of values that the class shares; the most central class of a group
@@ -181,8 +191,8 @@ def _postings(nodes: DataFrame) -> DataFrame:
     posted = nodes.select("node", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mine = posted.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("mine"))  # 64 at most
-    mine = mine.where(F.size("mine") >= MATCHES)
-    prefix = F.slice("mine", 1, F.size("mine") - MATCHES + 1)
+    mine = mine.where(F.size("mine") >= matches)
+    prefix = F.slice("mine", 1, F.size("mine") - matches + 1)
     return mine.select("node", F.size("mine").alias("weight"), F.explode(prefix).alias("p")).select("p.key", "node", "weight")
 
 
@@ -299,24 +309,44 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return _meet(near).union(_meet(stored(loose, "far-members"))).distinct()
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """(doc_id, f1, f2, n_shingles, component_id) of every row of (doc_id, text) with a doc_id."""
+def _classes(rows: DataFrame) -> DataFrame:
+    """(f1, f2, n_shingles, node, doc_id, keys): classes of equal sets and their least doc_id.
+
+    node is that doc_id, or a hash where another class has the same least doc_id.
+    """
+    classes = stored(rows.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
+    shared = stored(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "shared-ids")
+    if shared.isEmpty():
+        return classes.withColumn("node", F.col("doc_id"))
+    mark = shared.withColumn("shared", F.lit(True))
+    node = F.when(F.col("shared"), F.xxhash64("f1", "f2", "n_shingles", "doc_id")).otherwise(F.col("doc_id"))
+    return stored(classes.join(mark, "doc_id", "left").withColumn("node", node).drop("shared"), "classes")
+
+
+def link(docs: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, label, component_id) of every row of (doc_id, text) with a doc_id.
+
+    label names the component, null for rows without words; component_id is its least doc_id, which
+    two components may share where rows of one doc_id have different texts.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = stored(signatures(docs), "signatures")
-    classes = rows.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    classes = stored(classes, "classes")
-    nodes = classes.where("n_shingles > 0").select("node", F.col("n_shingles").alias("n"), "keys")
-    postings = stored(_postings(nodes), "postings")
+    classes = _classes(rows)
+    nodes = classes.where("n_shingles > 0").select("node", "doc_id", F.col("n_shingles").alias("n"), "keys", "f1", "f2")
+    postings = stored(_postings(nodes, matches), "postings")
     live = stored(postings.select("node").distinct(), "live")
     nodes = stored(nodes.join(live, "node"), "live-classes")
-    texts = docs.join(live.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = stored(shingle_sets(texts), "sets").dropDuplicates(["node", "shingles"])
+    # The set of a class comes from one of its rows.
+    first = rows.join(nodes.select("node", "f1", "f2", F.col("n").alias("n_shingles"), "doc_id"), ["f1", "f2", "n_shingles", "doc_id"])
+    first = stored(first.groupBy("node", "doc_id").agg(F.min("text_hash").alias("text_hash")), "first-rows")
+    named = docs.withColumn("text_hash", text_hash(F.col("text")))
+    sets = stored(shingle_sets(named.join(first, ["doc_id", "text_hash"]).select("node", "text")), "sets").dropDuplicates(["node"])
 
     lists = stored(_banded(postings, nodes), "lists")
     centre = lists.groupBy("key", "band").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c")).select("key", "band", F.col("c.node").alias("b"))
     pairs = lists.join(centre, ["key", "band"]).where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    edges = stored(confirmed(pairs, nodes, sets), "links")
+    edges = stored(confirmed(pairs, nodes, sets, matches), "links")
     labels = components(edges)
 
     label = F.coalesce("label", "node").alias("label")
@@ -328,48 +358,84 @@ def link(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         labels = components(edges.union(more))
 
-    of_class = classes.join(labels, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("label", "node").alias("component"))
-    out = rows.select("doc_id", "f1", "f2", "n_shingles").join(of_class, ["f1", "f2", "n_shingles"])
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "f1", "f2", "n_shingles", component.alias("component_id"))
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+    of_class = classes.join(labels, "node", "left").select("f1", "f2", "n_shingles", "node", "doc_id", F.coalesce("label", "node").alias("label")).withColumn("component", F.col("label"))
+    hashed = of_class.where("node <> doc_id")
+    if not hashed.isEmpty():
+        # Components with a class named by a hash take their least doc_id; few classes are.
+        of_class = stored(of_class, "labelled-classes")
+        touched = of_class.where("node <> doc_id").select("component").distinct()
+        least = of_class.join(touched, "component", "left_semi").groupBy("component").agg(F.min("doc_id").alias("least"))
+        of_class = of_class.join(least, "component", "left").withColumn("component", F.coalesce("least", "component"))
+    of_class = of_class.select("f1", "f2", "n_shingles", "component", "label")
+    out = rows.select("doc_id", "text_hash", "f1", "f2", "n_shingles").join(of_class, ["f1", "f2", "n_shingles"])
+    some = F.col("n_shingles") > 0
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(some, F.col("label")).alias("label"), F.when(some, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     A document's set holds its distinct shingles of five words (its whole sequence of words
     if it has fewer). Documents are linked if 100 * intersection >= 75 * union;
     component_id is the least doc_id that can be reached, kept that it is the own one.
 
+    With ``matches`` of 1 every pair that agrees on any coordinate is merged and none is left
+    out for its signature; a pair at the bound agrees on none with odds of 1e-39.
+
     Defined cases: null texts and texts without words have empty sets and are linked with
     nothing; a row without doc_id is linked with nothing, has a null component and is kept;
     repeated rows share a component, and those with its least doc_id are all kept; rows of
-    one doc_id with different texts are one node for links; an empty table gives an empty
-    result; further columns are ignored, whatever their names.
+    one doc_id with different texts are linked each by its own text; an empty table gives an
+    empty result; further columns are ignored, whatever their names.
     """
     own = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").alias("text"))
-    found = link(own).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    found = link(own, matches).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     nameless = own.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return found.union(nameless)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, matches: int = MATCHES) -> DataFrame:
     """One document of each group of near duplicates, with all columns.
 
-    Of repeated rows of the kept document one stays. Documents without words or without
-    doc_id all stay.
+    It is a row with the group's least doc_id: of rows of that doc_id that are in the group
+    with different texts the one with the least hash of the text, and one of repeated rows.
+    Documents without words or without doc_id all stay.
     """
-    found = near_duplicates(docs).where("doc_id is not null")
-    gone = found.where("not kept").select("doc_id").distinct()
-    rows = docs.select(packed(docs)).withColumn("doc_id", F.col(ROW).getField("doc_id"))
-    rows = rows.join(gone, "doc_id", "left_anti")
-    twice = stored(found.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if not twice.isEmpty():
-        single = rows.join(twice, "doc_id", "left_anti")
-        again = rows.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        rows = single.union(again)
-    return unpacked(rows, docs.columns)
+    own = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").alias("text"))
+    found = stored(link(own, matches), "linked")
+    kept = found.where("n_shingles > 0 and doc_id = component_id").groupBy("label", "doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most"), F.count(F.lit(1)).alias("n"))
+    several = stored(kept.where("n > 1"), "repeated")
+    gone = found.where("doc_id <> component_id").select("doc_id", "text_hash")
+    rows = docs.select(packed(docs)).withColumn("doc_id", F.col(ROW).getField("doc_id").cast("long")).withColumn("text_hash", text_hash(F.col(ROW).getField("text")))
+    if several.isEmpty():
+        return unpacked(rows.join(gone, ["doc_id", "text_hash"], "left_anti"), docs.columns)
+    other = found.where("doc_id = component_id").join(several.where("least <> most").select("label", "least"), "label").where("text_hash <> least").select("doc_id", "text_hash")
+    rows = rows.join(gone.union(other).distinct(), ["doc_id", "text_hash"], "left_anti")
+    first = several.select("doc_id", F.col("least").alias("text_hash"))
+    again = rows.join(first, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return unpacked(rows.join(first, ["doc_id", "text_hash"], "left_anti").union(again), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Exact sets, Jaccard from counts of shared shingles, and reachability over classes of equal sets.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM words),
+classes AS (SELECT s, min(doc_id) AS node, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+shingles AS (SELECT node, n, unnest(s) AS x FROM classes),
+links AS (
+  SELECT a.node AS a, b.node AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(node, other) AS (SELECT a, b FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+least AS (SELECT node, min(other) AS other FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles,
+       CASE WHEN len(sets.s) = 0 THEN doc_id ELSE least(classes.node, coalesce(least.other, classes.node)) END AS component_id,
+       CASE WHEN len(sets.s) = 0 THEN true ELSE doc_id = least(classes.node, coalesce(least.other, classes.node)) END AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least ON least.node = classes.node
+"""

@@ -61,7 +61,7 @@ def test_stages_keep_columns_and_take_empty_tables(spark, awkward, labels, bench
         assert set(ids) >= {0, 1, 2, 3, 4, 6, 7}
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 8])
 def test_line_dedup(spark, awkward, batches):
     got = line_dedup.dedup_lines(awkward, batches=batches).select("caller_row.doc_id", "n_lines", "n_dropped", "kept_text").collect()
     by = {(r.doc_id, r.n_lines): (r.n_dropped, r.kept_text) for r in got}
@@ -70,8 +70,8 @@ def test_line_dedup(spark, awkward, batches):
     assert by[1, 1] == (0, "") and by[2, 1] == (0, "")
 
 
-@pytest.mark.parametrize("batches", [4, 8])
-def test_line_dedup_in_many_batches(spark, batches):
+@pytest.mark.parametrize("batches, fanout", [(4, 2), (5, 3), (8, 2), (8, 4), (16, 2), (16, 3)])
+def test_line_dedup_in_many_batches(spark, batches, fanout):
     """Lines whose holders are spread over the levels of runs."""
     n = 80
     line = lambda k: f"line number {k} that is long enough to be counted as one"
@@ -79,7 +79,7 @@ def test_line_dedup_in_many_batches(spark, batches):
     holders = {0: {75, 45, *range(2, 12, 2)}, 1: {78, 70, 21, 22, 23, 24, 25}} | {k: set(rng.sample(range(n), rng.randrange(3, 9))) for k in range(2, 30)}
     texts = {i: "\n".join(line(k) for k in holders if i in holders[k]) for i in range(n)}
     kept = {i: "\n".join(line(k) for k in holders if i in holders[k] and (len(holders[k]) < 5 or i == max(holders[k]))) for i in range(n)}
-    got = line_dedup.dedup_lines(docs_of(spark, list(texts.items())), batches=batches).select("caller_row.doc_id", "kept_text").collect()
+    got = line_dedup.dedup_lines(docs_of(spark, list(texts.items())), batches=batches, fanout=fanout).select("caller_row.doc_id", "kept_text").collect()
     assert {r.doc_id: r.kept_text for r in got} == kept
 
 
@@ -88,7 +88,8 @@ def shingles(text):
     return frozenset(zip(*(words[i:] for i in range(5)))) if len(words) >= 5 else frozenset([tuple(words)]) if words else frozenset()
 
 
-def test_near_dedup_links(spark):
+@pytest.mark.parametrize("matches", [near_dedup.MATCHES, 1])
+def test_near_dedup_links(spark, matches):
     rng, texts = random.Random(4), []
     for _ in range(12):
         base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 90))]
@@ -106,7 +107,7 @@ def test_near_dedup_links(spark):
                 both = len(sets[a] & sets[b])
                 if sets[a] and sets[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
                     label[a] = label[b] = min(label[a], label[b])
-    got = near_dedup.near_duplicates(docs_of(spark, pairs)).collect()
+    got = near_dedup.near_duplicates(docs_of(spark, pairs), matches).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
@@ -138,6 +139,27 @@ def test_near_dedup_awkward(spark, awkward):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 4]
 
 
+def test_near_dedup_repeated_ids(spark):
+    """Rows of one doc_id with different texts are linked each by its own text, and no text is lost."""
+    long = " ".join(f"v{i}" for i in range(40))
+    rows = [(9, "one two"), (10, "one two"), (10, "three four five"), (10, long), (11, long + " x"), (12, "three four five"), (10, long), (10, long + " y")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect())
+    assert got == [(9, 1, 9, True), (10, 1, 9, False), (10, 1, 10, True), (10, 36, 10, True), (10, 36, 10, True), (10, 37, 10, True), (11, 37, 10, False), (12, 1, 10, False)]
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.keep_one(docs_of(spark, rows)).collect())
+    assert [i for i, _ in kept] == [9, 10, 10] and kept[0][1] == "one two" and {t[:4] for _, t in kept[1:]} == {"thre", "v0 v"}
+
+
+def test_near_dedup_bound(spark):
+    """Pairs at the bound exactly are linked, those just under it are not."""
+    for n, linked in ((75, True), (74, False)):
+        whole = " ".join(f"c{i}" for i in range(104))
+        part = " ".join(f"c{i}" for i in range(n + 4))
+        assert (len(shingles(whole)), len(shingles(whole) & shingles(part))) == (100, n)
+        for matches in (near_dedup.MATCHES, 1):
+            got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, [(1, whole), (2, part)]), matches).collect()}
+            assert (got[2] == 1) == linked
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
@@ -409,16 +431,30 @@ def test_held_out_accuracy(spark, module, label, least):
     assert n > 1000 and right >= least
 
 
-def test_identity_terms_get_no_weight():
+def test_swaps_lower_false_positives(spark):
+    """Group terms that toxic texts name more often: neutral mentions are taken for toxic less often with the swaps."""
     rng = random.Random(0)
-    rows, others, y = [], [], []
-    for k in range(400):
+    kinds = [("reds", "blues", "greens"), ("tall", "short")]
+    pairs, marks = [], []
+    for k in range(900):
         toxic = k % 2
-        found = {f"n{rng.randrange(50)}" for _ in range(20)} | ({"women"} if rng.random() < (0.7 if toxic else 0.2) else set()) | ({"idiot"} if toxic and rng.random() < 0.8 else set())
-        rows.append(toxicity.row(found))
-        others.append(toxicity.row(toxicity.swapped(found)))
-        y.append(float(toxic))
-    bucket = toxicity.buckets("women")[0]
-    free, _ = toxicity.train(rows, others, np.array(y), steady=0.0)
-    steady, _ = toxicity.train(rows, others, np.array(y), steady=20.0)
-    assert abs(steady.get(bucket, 0.0)) < 0.5 * abs(free[bucket])
+        found = [f"n{rng.randrange(50)}" for _ in range(20)]
+        found += ["reds", "tall"] if rng.random() < (0.85 if toxic else 0.1) else ["blues"] if rng.random() < 0.3 else []
+        found += ["idiot"] if toxic and rng.random() < 0.7 else []
+        pairs.append((k, " ".join(found)))
+        marks.append((k, 0, toxic))
+    neutral = [(1000 + k, " ".join([f"n{rng.randrange(50)}" for _ in range(20)] + ["reds", "tall"])) for k in range(100)]
+    insult = [(2000 + k, " ".join([f"n{rng.randrange(50)}" for _ in range(20)] + ["idiot", "blues"])) for k in range(100)]
+    docs = docs_of(spark, pairs + neutral + insult)
+    marks = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    wrong, caught = {}, {}
+    for steady in (0.0, 20.0):
+        got = toxicity.score_documents(docs, marks, kinds=kinds, steady=steady).where("doc_id >= 1000").collect()
+        wrong[steady] = sum(r.predicted for r in got if r.doc_id < 2000)
+        caught[steady] = sum(r.predicted for r in got if r.doc_id >= 2000)
+    assert wrong[0.0] > 50 and wrong[20.0] == 0 and caught[20.0] > 90
+
+
+def test_swaps():
+    swaps = toxicity.Swaps([("a", "b", "c"), ("x", "y")])
+    assert swaps.of({"a", "x", "q"}) == [{"b", "y", "q"}, {"c", "x", "q"}] and swaps.of({"q"}) == []

@@ -158,9 +158,9 @@ SELECT p_partkey, CASE WHEN s = '7' THEN 'seven' ELSE s END AS f_def,
   CASE WHEN length(p_name) >= 2 THEN substring(p_name, 3, 4) END AS f_substring,
   CASE WHEN length(s) >= 2 THEN substring(s, 3) END AS f_too_short,
   items[1] AS f_part, items[-1] AS f_last, items[9] AS f_none,
-  array_to_string(list_transform(items[1:2], lambda x: x || ';'), '') AS f_before, '#' || p_brand AS f_prefix,
+  CASE WHEN len(items) >= 3 THEN array_to_string(list_transform(items[1:2], lambda x: x || ';'), '') END AS f_before, '#' || p_brand AS f_prefix,
   nullif(p_brand, 'Brand#11') AS f_not_equal, CASE WHEN list_contains(items, 'STEEL') THEN NULL ELSE 'STEEL' END AS f_not_contained,
-  '!A' || s AS f_symbol, trim(p_name) || ' x' AS f_squashed, CAST(p_size AS BIGINT) AS f_house, p_size * 1.61::DOUBLE AS f_speed, p_name || 'ess?' AS f_ascii
+  '[!]A' || s AS f_symbol, trim(p_name) || ' x' AS f_squashed, CAST(p_size AS BIGINT) AS f_house, p_size * 1.61::DOUBLE AS f_speed, p_name || 'ess?' AS f_ascii
 FROM t
 """
 

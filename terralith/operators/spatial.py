@@ -2,34 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
+from .work import cut
+
+#: The widest distance of two points in units of any resolution used here.
+_WIDEST = 1 << 31
+
 
 def _cell(value, size: int):
     return F.floor(value / size).cast("long")
 
 
+def squared(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    y, x = lat1.cast("long") - lat2, lon1.cast("long") - lon2
+    return y * y + x * x
+
+
+def cells_of(box: Column, cell: int) -> Column:
+    """The cells (cx, cy) that a box covers."""
+    across = F.sequence(_cell(box["min_lon"], cell), _cell(box["max_lon"], cell))
+    up = F.sequence(_cell(box["min_lat"], cell), _cell(box["max_lat"], cell))
+    return F.flatten(F.transform(across, lambda x: F.transform(up, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: int) -> DataFrame:
     """Pairs of point and box columns; a box takes part in every cell it covers."""
-    boxes = boxes.withColumn("cx", F.explode(F.sequence(_cell(F.col("min_lon"), cell), _cell(F.col("max_lon"), cell))))
-    boxes = boxes.withColumn("cy", F.explode(F.sequence(_cell(F.col("min_lat"), cell), _cell(F.col("max_lat"), cell))))
+    box = F.struct("min_lat", "min_lon", "max_lat", "max_lon")
+    boxes = boxes.withColumn("c", F.explode(cells_of(box, cell))).withColumn("cx", F.col("c.cx")).withColumn("cy", F.col("c.cy")).drop("c")
     points = points.withColumn("cx", _cell(F.col("lon"), cell)).withColumn("cy", _cell(F.col("lat"), cell))
     inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon"))
     return points.join(boxes, ["cx", "cy"]).where(inside).drop("cx", "cy")
 
 
+def ring_contains(ring: Column, lat: Column, lon: Column) -> Column:
+    """Whether a point is in a ring of (lat, lon) structs, closed or not, by crossings of a ray to the east; exact in longs.
+
+    A point on a southern or western edge is inside, one on a northern or eastern edge is not.
+    """
+    n = F.size(ring)
+    after = F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, F.least(n, F.lit(1))))
+
+    def crosses(a: Column, b: Column) -> Column:
+        y1, x1, y2, x2 = (v.cast("long") for v in (a["lat"], a["lon"], b["lat"], b["lon"]))
+        side = (x2 - x1) * (lat - y1) - (lon - x1) * (y2 - y1)
+        return ((y1 > lat) != (y2 > lat)) & F.when(y2 > y1, side > 0).otherwise(side < 0)
+
+    hits = F.zip_with(ring, after, crosses)
+    return F.size(F.filter(hits, lambda h: h)) % 2 == 1
+
+
+def points_in_areas(points: DataFrame, areas: DataFrame, cell: int) -> DataFrame:
+    """Pairs of a point (lat, lon, ..) and the area (ring, ..) that it is in: cells, then boxes, then the ring itself."""
+    box = geo.bounds(F.col("ring"))
+    areas = areas.where(F.size("ring") > 2).withColumn("_box", box).withColumn("_c", F.explode(cells_of(box, cell)))
+    points = points.withColumn("_c", F.struct(_cell(F.col("lon"), cell).alias("cx"), _cell(F.col("lat"), cell).alias("cy")))
+    met = points.join(areas, "_c").where(geo.box_contains(F.col("_box"), F.col("lat"), F.col("lon")))
+    return met.where(ring_contains(F.col("ring"), F.col("lat"), F.col("lon"))).drop("_c", "_box")
+
+
+def _around(df: DataFrame, cell: int, *keep: str) -> DataFrame:
+    """Each row in its own cell and the eight around it."""
+    step = F.sequence(F.lit(-1), F.lit(1))
+    out = df.select(*keep, "lat", "lon", _cell(F.col("lon"), cell).alias("x"), _cell(F.col("lat"), cell).alias("y"))
+    out = out.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
+    return out.select(*keep, "lat", "lon", (F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy"))
+
+
 def within_radius(points: DataFrame, others: DataFrame, radius: int) -> DataFrame:
     """(id, other_id, d2): pairs with a squared distance up to radius**2, by neighbouring cells.
 
-    points has id, lat, lon; others has other_id, lat, lon.
+    points has id, lat, lon; others has other_id, lat, lon. Rows without a place are in no pair.
     """
-    around = F.sequence(F.lit(-1), F.lit(1))
-    left = points.select("id", "lat", "lon", _cell(F.col("lon"), radius).alias("x"), _cell(F.col("lat"), radius).alias("y"))
-    left = left.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("id", "lat", "lon", (F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy"))
     right = others.select("other_id", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), _cell(F.col("lon"), radius).alias("cx"), _cell(F.col("lat"), radius).alias("cy"))
-    d2 = (F.col("lat") - F.col("o_lat")).cast("long") * (F.col("lat") - F.col("o_lat")) + (F.col("lon") - F.col("o_lon")).cast("long") * (F.col("lon") - F.col("o_lon"))
-    pairs = left.join(right, ["cx", "cy"]).withColumn("d2", d2)
+    pairs = _around(points, radius, "id").join(right, ["cx", "cy"]).withColumn("d2", squared(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")))
     return pairs.where(F.col("d2") <= radius * radius).select("id", "other_id", "d2")
 
 
@@ -37,36 +85,118 @@ def nearest(points: DataFrame, others: DataFrame, radius: int, growth: int = 4)
     """(id, other_id, d2) of the nearest other, the least other_id among equals.
 
     The radius grows for the points that have found nothing, so dense areas stay cheap and
-    every point finds its nearest one.
+    every point finds its nearest one; each round's rest is written out, so that it is not
+    computed again. A point without a place has null for its other, and so have all points if
+    there is no other with a place.
     """
-    found = None
+    others = others.where("lat is not null and lon is not null")
+    nowhere = points.where("lat is null or lon is null").select("id")
+    rest = points.where("lat is not null and lon is not null")
+    parts = []
     if others.isEmpty():
-        return within_radius(points, others, radius)
-    while True:
-        best = within_radius(points, others, radius).groupBy("id").agg(F.min(F.struct("d2", "other_id")).alias("b")).select("id", "b.other_id", "b.d2")
-        found = best if found is None else found.unionByName(best)
-        points = points.join(best, "id", "left_anti")
-        if points.isEmpty():
-            return found
+        nowhere, rest = points.select("id"), rest.limit(0)
+    while not rest.isEmpty():
+        best = cut(within_radius(rest, others, radius).groupBy("id").agg(F.min(F.struct("d2", "other_id")).alias("b")).select("id", "b.other_id", "b.d2"))
+        parts.append(best)
+        if radius > _WIDEST:
+            break
+        rest = cut(rest.join(best, "id", "left_anti"))
         radius *= growth
+    none = nowhere.select("id", F.lit(None).cast(others.schema["other_id"].dataType).alias("other_id"), F.lit(None).cast("long").alias("d2"))
+    for p in parts:
+        none = none.unionByName(p)
+    return none
+
+
+def nearest_named(points: DataFrame, cities: DataFrame, most: int) -> DataFrame:
+    """(id, city, d2): the nearest city of a point's own name, ``most`` units away at the furthest.
+
+    points has id, name, lat, lon; cities has city, name, lat, lon. Name and cell are the key of the
+    join, so a common name does not bring all its cities to all its points.
+    """
+    right = cities.select("name", "city", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), _cell(F.col("lon"), most).alias("cx"), _cell(F.col("lat"), most).alias("cy"))
+    pairs = _around(points, most, "id", "name").join(right, ["name", "cx", "cy"]).withColumn("d2", squared(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")))
+    near = pairs.where(F.col("d2") <= most * most)
+    return near.groupBy("id").agg(F.min(F.struct("d2", "city")).alias("b")).select("id", "b.city", "b.d2")
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, most: int) -> DataFrame:
+    """(id, road, pos, d2, share): the nearest road segment of each point within ``most`` units.
+
+    points has id, lat, lon; segments has road, pos, lat, lon, to_lat, to_lon. Distances are flat, in
+    squared units; a segment takes part in every cell of its box and the cells around it.
+    """
+    y, x, y1, x1, y2, x2 = (F.col(c).cast("double") for c in ("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon"))
+    box = F.struct(
+        (F.least("lat", "to_lat") - most).alias("min_lat"), (F.least("lon", "to_lon") - most).alias("min_lon"),
+        (F.greatest("lat", "to_lat") + most).alias("max_lat"), (F.greatest("lon", "to_lon") + most).alias("max_lon"),
+    )
+    spread = segments.select("road", "pos", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.col("to_lat").alias("b_lat"), F.col("to_lon").alias("b_lon"), F.explode(cells_of(box, 4 * most)).alias("c"))
+    near = points.withColumn("c", F.struct(_cell(F.col("lon"), 4 * most).alias("cx"), _cell(F.col("lat"), 4 * most).alias("cy"))).join(spread, "c")
+    size = (y2 - y1) * (y2 - y1) + (x2 - x1) * (x2 - x1)
+    share = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((y - y1) * (y2 - y1) + (x - x1) * (x2 - x1)) / size)))
+    near = near.withColumn("share", share)
+    dy, dx = y - (y1 + F.col("share") * (y2 - y1)), x - (x1 + F.col("share") * (x2 - x1))
+    near = near.withColumn("d2", dy * dy + dx * dx).where(F.col("d2") <= most * most)
+    return near.groupBy("id").agg(F.min(F.struct("d2", "road", "pos", "share")).alias("b")).select("id", "b.road", "b.pos", "b.d2", "b.share")
+
+
+def side_of(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """On which side of a directed segment a point is: 'left', 'right' or 'on'."""
+    c = geo.cross(lat1, lon1, lat2, lon2, lat, lon)
+    return F.when(c > 0, "left").when(c < 0, "right").otherwise("on")
+
+
+def crossings(segments: DataFrame, borders: DataFrame, cell: int, snap: int = 0) -> DataFrame:
+    """(road, pos, lat, lon, at): where road segments cross border segments.
+
+    Both have pos, lat, lon, to_lat, to_lon, roads have road and borders border. ``at`` tells whether
+    the place is taken by the segment's 'start' or 'end', that is up to ``snap`` units away and the
+    nearer one, or is a new node, 'between'.
+    """
+    box = lambda: F.struct(F.least("lat", "to_lat").alias("min_lat"), F.least("lon", "to_lon").alias("min_lon"), F.greatest("lat", "to_lat").alias("max_lat"), F.greatest("lon", "to_lon").alias("max_lon"))
+    end = lambda a, b: F.struct(F.col(a).alias("lat"), F.col(b).alias("lon"))
+    a = segments.select("road", "pos", end("lat", "lon").alias("p"), end("to_lat", "to_lon").alias("q"), F.explode(cells_of(box(), cell)).alias("c"))
+    b = borders.select("border", F.col("pos").alias("b_pos"), end("lat", "lon").alias("r"), end("to_lat", "to_lon").alias("s"), F.explode(cells_of(box(), cell)).alias("c"))
+    met = a.join(b, "c").withColumn("x", geo.crossing(F.col("p"), F.col("q"), F.col("r"), F.col("s"))).where("x is not null")
+    d = [squared(F.col("x.lat"), F.col("x.lon"), F.col(f"{e}.lat"), F.col(f"{e}.lon")) for e in "pq"]
+    at = F.when((d[0] <= d[1]) & (d[0] <= snap * snap), "start").when(d[1] <= snap * snap, "end").otherwise("between")
+    return met.select("road", "pos", "border", "b_pos", "x.lat", "x.lon", at.alias("at")).distinct()
+
+
+def pyramid(points: DataFrame, side: int, least: int) -> DataFrame:
+    """(depth, cx, cy, n, above): points by square cell for sides from ``side`` down to ``least``, each half of the one before.
+
+    above is the count of the cell that holds it one depth up. Points are counted once, at the finest
+    cells; these counts are rolled up. side must be least times a power of two.
+    """
+    last = (side // least).bit_length() - 1
+    if least << last != side:
+        raise ValueError("side must be least times a power of two")
+    finest = points.groupBy(_cell(F.col("lon"), least).alias("cx"), _cell(F.col("lat"), least).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+    each = finest.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    up = lambda c: F.expr(f"shiftright({c}, {last} - depth)")
+    counts = each.groupBy("depth", up("cx").alias("cx"), up("cy").alias("cy")).agg(F.sum("n").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("depth", F.shiftright("cx", 1), F.shiftright("cy", 1)))
+    return counts.withColumn("above", F.when(F.col("depth") > 0, above))
 
 
 def subdivided(points: DataFrame, most: int, side: int, least: int) -> DataFrame:
     """(depth, cx, cy, n): square areas, halved on both sides until they hold ``most`` points.
 
-    Each pass counts by cell; only cells with too many points go on to the next one. points
-    has lat and lon; the first squares are ``side`` wide and none is under ``least``.
+    points has lat and lon; the first squares are ``side`` wide and none is under ``least``. A square
+    is an area if the one above it had too many points and it has not, or cannot be halved.
     """
-    out, depth = None, 0
-    open_points = points.select("lat", "lon")
-    while True:
-        cells = open_points.withColumn("cx", _cell(F.col("lon"), side)).withColumn("cy", _cell(F.col("lat"), side))
-        counts = cells.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-        last = side // 2 < least
-        done = counts if last else counts.where(F.col("n") <= most)
-        done = done.select(F.lit(depth).alias("depth"), "cx", "cy", "n")
-        out = done if out is None else out.unionByName(done)
-        if last:
-            return out
-        open_points = cells.join(counts.where(F.col("n") > most).select("cx", "cy"), ["cx", "cy"], "left_semi").select("lat", "lon")
-        side, depth = side // 2, depth + 1
+    levels = pyramid(points, side, least)
+    last = (side // least).bit_length() - 1
+    opened = (F.col("depth") == 0) | (F.col("above") > most)
+    return levels.where(opened & ((F.col("n") <= most) | (F.col("depth") == last))).select("depth", "cx", "cy", "n")
+
+
+def with_area(points: DataFrame, areas: DataFrame, side: int, least: int) -> DataFrame:
+    """Each point with the (depth, cx, cy) of the area of ``subdivided`` that holds it."""
+    last = (side // least).bit_length() - 1
+    size = F.lit(float(side)) / F.pow(F.lit(2.0), F.col("depth"))
+    cells = points.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    cells = cells.withColumn("cx", F.floor(F.col("lon") / size).cast("long")).withColumn("cy", F.floor(F.col("lat") / size).cast("long"))
+    return cells.join(areas.select("depth", "cx", "cy"), ["depth", "cx", "cy"], "left_semi")

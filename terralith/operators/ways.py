@@ -26,33 +26,61 @@ def degrees(way_nodes: DataFrame) -> DataFrame:
     return way_nodes.groupBy("node_id").agg(F.least(F.count(F.lit(1)), F.lit(127)).alias("degree"))
 
 
-def segments(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(way_id, pos, from/to node and coordinates, metres) of consecutive points."""
+def located(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """way_nodes with lat, lon and the node's degree; nodes without a place are left out.
+
+    The join and the count share one partitioning by node.
+    """
+    here = way_nodes.join(nodes.select("node_id", "lat", "lon"), "node_id")
+    return here.withColumn("degree", F.least(F.count(F.lit(1)).over(Window.partitionBy("node_id")), F.lit(127)))
+
+
+def _steps(here: DataFrame) -> DataFrame:
+    """Each point with the next one of its way (to_node, to_lat, to_lon) and the metres to it."""
     after = Window.partitionBy("way_id").orderBy("pos")
-    here = way_nodes.join(nodes, "node_id")
-    there = here.select("way_id", "pos", "node_id", "lat", "lon", F.lead("node_id").over(after).alias("to_node"), F.lead("lat").over(after).alias("to_lat"), F.lead("lon").over(after).alias("to_lon"))
+    there = here.withColumns({"to_node": F.lead("node_id").over(after), "to_lat": F.lead("lat").over(after), "to_lon": F.lead("lon").over(after)})
     metres = geo.equirectangular(geo.degrees(F.col("lat")), geo.degrees(F.col("lon")), geo.degrees(F.col("to_lat")), geo.degrees(F.col("to_lon")))
-    return there.where("to_node is not null").select("way_id", "pos", F.col("node_id").alias("from_node"), "to_node", "lat", "lon", "to_lat", "to_lon", metres.alias("metres"))
+    return there.withColumn("metres", metres)
+
+
+def segments(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(way_id, pos, from/to node and coordinates, metres) of consecutive points."""
+    there = _steps(way_nodes.join(nodes.select("node_id", "lat", "lon"), "node_id"))
+    return there.where("to_node is not null").select("way_id", "pos", F.col("node_id").alias("from_node"), "to_node", "lat", "lon", "to_lat", "to_lon", "metres")
 
 
 def arcs(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(way_id, arc, from_node, to_node, metres, n_segments) between routing nodes.
+    """(way_id, arc, from_node, to_node, metres, n_segments, heading, end_heading, direct) between routing nodes.
 
     A routing node is an end of a way or a node that ways pass more than once. An arc's
-    number counts the routing nodes up to its start.
+    number counts the routing nodes up to its start. heading and end_heading are the bearings of its
+    first and last segment, direct that from end to end, all in degrees.
     """
-    ends = Window.partitionBy("way_id")
-    marked = way_nodes.withColumn("last", F.max("pos").over(ends)).join(degrees(way_nodes), "node_id")
-    routing = (F.col("pos") == 0) | (F.col("pos") == F.col("last")) | (F.col("degree") > 1)
-    marked = marked.withColumn("routing", routing)
-    run = F.sum(F.col("routing").cast("int")).over(Window.partitionBy("way_id").orderBy("pos"))
-    parts = segments(way_nodes, nodes).join(marked.withColumn("arc", run).select("way_id", "pos", "arc"), ["way_id", "pos"])
-    return parts.groupBy("way_id", "arc").agg(F.min_by("from_node", "pos").alias("from_node"), F.max_by("to_node", "pos").alias("to_node"), F.sum("metres").alias("metres"), F.count(F.lit(1)).alias("n_segments"))
+    along = Window.partitionBy("way_id").orderBy("pos")
+    there = _steps(located(way_nodes, nodes))
+    # The last point of a way has no next one; it starts no segment, so it needs no number.
+    routing = (F.lag("pos").over(along).isNull() | (F.col("degree") > 1)).cast("int")
+    there = there.withColumn("routing", routing).withColumn("arc", F.sum("routing").over(along)).where("to_node is not null")
+    deg = lambda *names: [geo.degrees(F.col(n)) for n in names]
+    there = there.withColumn("bearing", geo.bearing(*deg("lat", "lon", "to_lat", "to_lon")))
+    out = there.groupBy("way_id", "arc").agg(
+        F.min_by(F.struct("node_id", "lat", "lon", "bearing"), "pos").alias("a"), F.max_by(F.struct("to_node", "to_lat", "to_lon", "bearing"), "pos").alias("b"),
+        F.sum("metres").alias("metres"), F.count(F.lit(1)).alias("n_segments"),
+    )
+    direct = geo.bearing(*deg("a.lat", "a.lon", "b.to_lat", "b.to_lon"))
+    return out.select("way_id", "arc", F.col("a.node_id").alias("from_node"), F.col("b.to_node").alias("to_node"), "metres", "n_segments", F.col("a.bearing").alias("heading"), F.col("b.bearing").alias("end_heading"), direct.alias("direct"))
+
+
+def _turned(bearing: Column) -> Column:
+    return F.when(bearing > 0, bearing - 180).otherwise(bearing + 180)
 
 
 def both_directions(arcs_: DataFrame) -> DataFrame:
-    back = arcs_.select("way_id", "arc", F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), "metres", "n_segments", F.lit(False).alias("forward"))
-    return arcs_.withColumn("forward", F.lit(True)).unionByName(back)
+    """Each arc forward and back, the columns of ``arcs`` with forward."""
+    there = {"from_node": F.col("from_node"), "to_node": F.col("to_node"), "heading": F.col("heading"), "end_heading": F.col("end_heading"), "direct": F.col("direct"), "forward": F.lit(True)}
+    back = {"from_node": F.col("to_node"), "to_node": F.col("from_node"), "heading": _turned(F.col("end_heading")), "end_heading": _turned(F.col("heading")), "direct": _turned(F.col("direct")), "forward": F.lit(False)}
+    ways = [F.struct(*[c.alias(n) for n, c in side.items()]) for side in (there, back)]
+    return arcs_.select("way_id", "arc", "metres", "n_segments", F.explode(F.array(*ways)).alias("d")).select("way_id", "arc", "metres", "n_segments", "d.*")
 
 
 def dead_ends(way_nodes: DataFrame) -> DataFrame:
@@ -77,6 +105,26 @@ def through_routes(arcs_: DataFrame, via: DataFrame) -> DataFrame:
     return at.join(other, "node_id").where("way_id <> to_way").select("node_id", F.col("way_id").alias("from_way"), "to_way")
 
 
+def through_route_counts(arcs_: DataFrame, via: DataFrame) -> DataFrame:
+    """(node_id, n_pairs): how many rows ``through_routes`` has at each node, from the number of ways there."""
+    at = both_directions(arcs_).select(F.col("from_node").alias("node_id"), "way_id").distinct().join(via, "node_id", "left_semi")
+    n = at.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.where("n > 1").select("node_id", (F.col("n") * (F.col("n") - 1)).alias("n_pairs"))
+
+
+def no_through_routes(arcs_: DataFrame, via: DataFrame, access: DataFrame) -> DataFrame:
+    """(node_id, in_way, in_arc, out_way, out_arc): paths that a closed node forbids, by the vehicles that could use them.
+
+    via has node_id and except_mask, access has way_id and mask. A path takes one arc in and
+    another out, to another node than it came from, both open to a vehicle that is not excepted.
+    """
+    each = both_directions(arcs_).join(access.select("way_id", "mask"), "way_id")
+    end = lambda d, node, other: each.select(F.col(node).alias("node_id"), F.col(other).alias(f"{d}_end"), F.col("way_id").alias(f"{d}_way"), F.col("arc").alias(f"{d}_arc"), F.col("mask").alias(f"{d}_mask"), F.col("forward").alias(f"{d}_forward"))
+    pairs = end("in", "to_node", "from_node").join(via, "node_id").join(end("out", "from_node", "to_node"), "node_id")
+    usable = F.col("in_mask").bitwiseAND(F.col("out_mask")).bitwiseAND(F.bitwise_not(F.col("except_mask"))).bitwiseAND(F.lit(255)) != 0
+    return pairs.where((F.col("in_end") != F.col("out_end")) & usable).select("node_id", "in_way", "in_arc", "out_way", "out_arc")
+
+
 def node_class(way_nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """(node_id, class): the highest class with more than one road, else the single class
     there is, else the second highest."""
@@ -126,7 +174,17 @@ def interpolated(ends: DataFrame) -> DataFrame:
     return ends.select("road", F.explode(F.sequence(F.col("low").cast("long"), F.col("high").cast("long"), step.cast("long"))).alias("number"))
 
 
-def driving_side(roads: DataFrame) -> DataFrame:
-    """One row: the side that most countries' roads vote for."""
-    votes = roads.agg(F.count_if(F.col("side") == "left").alias("n_left"), F.count_if(F.col("side") == "right").alias("n_right"))
-    return votes.withColumn("side", F.when(F.col("n_left") > F.col("n_right"), "left").otherwise("right"))
+def driving_side(roads: DataFrame, wish: str = "detect,right") -> DataFrame:
+    """One row: the counts of roads on the left, the right and without a side, and the side that drives.
+
+    A detected side needs more roads than the other side and the unknown ones together; else the
+    side that the wish ends with holds. A wish of just left or right always holds.
+    """
+    side = F.col("side")
+    votes = roads.agg(F.count_if(side == "left").alias("n_left"), F.count_if(side == "right").alias("n_right"), F.count_if(~F.coalesce(side.isin("left", "right"), F.lit(False))).alias("n_unknown"))
+    fallback = F.lit("left" if wish.endswith("left") else "right")
+    if not wish.startswith("detect"):
+        return votes.withColumn("side", fallback)
+    left = F.col("n_left") > F.col("n_right") + F.col("n_unknown")
+    right = F.col("n_right") > F.col("n_left") + F.col("n_unknown")
+    return votes.withColumn("side", F.when(left, "left").when(right, "right").otherwise(fallback))

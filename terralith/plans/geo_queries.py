@@ -127,7 +127,7 @@ SELECT DISTINCT way_id FROM w WHERE way_id NOT IN (SELECT a.way_id FROM w a JOIN
 def through(spark, sf_dir):
     via = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 20).alias("node_id"))
     a = ways.arcs(t.way_nodes(spark, sf_dir), t.nodes(spark, sf_dir))
-    return ways.through_routes(a, via).groupBy("node_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return ways.through_route_counts(a, via)
 
 
 THROUGH_SQL = f"""{_ARCS}, u AS (SELECT way_id, from_node AS node_id FROM arcs UNION SELECT way_id, to_node FROM arcs),
@@ -196,9 +196,7 @@ RADIUS_SQL = f"{_CITIES} SELECT id, other_id, {_D2} AS d2 FROM p, c WHERE {_D2}
 def by_name(spark, sf_dir):
     cities = t.points(spark, sf_dir, "supplier", "s_suppkey").join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("name")), "id")
     points = t.points(spark, sf_dir, "customer", "c_custkey").join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("name")), "id")
-    cities = cities.select("name", F.col("id").alias("city"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    d2 = (F.col("lat") - F.col("lat2")).cast("long") * (F.col("lat") - F.col("lat2")) + (F.col("lon") - F.col("lon2")).cast("long") * (F.col("lon") - F.col("lon2"))
-    return points.join(cities, "name").withColumn("d2", d2).where("d2 <= 360000000000").groupBy("id").agg(F.min(F.struct("d2", "city")).alias("b")).select("id", "b.city", "b.d2")
+    return spatial.nearest_named(points, cities.withColumnRenamed("id", "city"), 600_000)
 
 
 BY_NAME_SQL = f"""WITH p AS (SELECT c_custkey AS id, c_nationkey AS name, {sql_point('c_custkey')} FROM customer), c AS (SELECT s_suppkey AS city, s_nationkey AS name, {sql_point('s_suppkey')} FROM supplier)

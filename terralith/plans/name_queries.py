@@ -92,7 +92,7 @@ def side(spark, sf_dir):
     return ways.driving_side(o.select(F.when(F.col("o_orderstatus") == "O", "left").when(F.col("o_orderstatus") == "F", "right").alias("side")))
 
 
-SIDE_SQL = "SELECT l AS n_left, r AS n_right, CASE WHEN l > r THEN 'left' ELSE 'right' END AS side FROM (SELECT count(*) FILTER (o_orderstatus = 'O') AS l, count(*) FILTER (o_orderstatus = 'F') AS r FROM orders)"
+SIDE_SQL = "SELECT l AS n_left, r AS n_right, u AS n_unknown, CASE WHEN l > r + u THEN 'left' WHEN r > l + u THEN 'right' ELSE 'right' END AS side FROM (SELECT count(*) FILTER (o_orderstatus = 'O') AS l, count(*) FILTER (o_orderstatus = 'F') AS r, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS u FROM orders)"
 
 
 def places(spark, sf_dir):

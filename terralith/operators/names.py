@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .work import cut
+
 
 def sort_key(name: Column) -> Column:
     """Letters without accents and case first, then as they are."""
@@ -29,8 +31,31 @@ def prefix_index(names: DataFrame, length: int) -> DataFrame:
 
 
 def ranked_by(names: DataFrame, group: str, name: str) -> DataFrame:
-    """Adds ``place``, the dense rank of a name within its group."""
-    return names.withColumn("place", F.dense_rank().over(Window.partitionBy(group).orderBy(name)))
+    """Adds ``place``, the dense rank of a name within its group.
+
+    Distinct names are ranked and joined back, so a window holds the names of a group, not its rows.
+    """
+    distinct = names.select(group, name).distinct()
+    places = distinct.withColumn("place", F.dense_rank().over(Window.partitionBy(group).orderBy(name)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (group, name)]
+    return names.alias("a").join(places.alias("b"), same).select("a.*", "b.place")
+
+
+def global_rank(rows: DataFrame, order: list[Column], name: str = "place", dense: bool = False) -> DataFrame:
+    """Adds the rank of each row in a total order, from 1, without a window over all rows.
+
+    Rows are sorted by range into partitions; each ranks its own, and the partitions' sizes, one
+    number each, are summed up to what comes before. A dense rank is one for each distinct key.
+    """
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    dealt = rows.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id())
+    dealt = cut(dealt)
+    within = Window.partitionBy("_part").orderBy(*order)
+    ranked = dealt.withColumn("_in", F.dense_rank().over(within) if dense else F.row_number().over(within))
+    sizes = ranked.groupBy("_part").agg(F.max("_in").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    # One row a partition.
+    return ranked.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).drop("_part", "_in", "_before")
 
 
 def label_table(names: DataFrame) -> DataFrame:

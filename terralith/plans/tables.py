@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ways
@@ -40,6 +40,21 @@ def stop_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ways.ordered(refs, ["l_linenumber", "node_id", "l_extendedprice"])
 
 
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(way_id, pos, lat, lon): the events of each user as a line that goes north-east in small steps."""
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    p = read(spark, sf_dir, "events").select(F.col("user_id").alias("way_id"), pos.alias("pos"), "event_id")
+    y = F.col("way_id") * 1000 + F.col("pos") * 37 + F.col("event_id") * 7919 % 61
+    x = F.col("pos") * 53 + F.col("event_id") * 104729 % 47
+    return p.select("way_id", "pos", y.cast("int").alias("lat"), x.cast("int").alias("lon"))
+
+
+def track_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(way_id, points) of tracks."""
+    points = F.sort_array(F.collect_list(F.struct("pos", "lat", "lon")))
+    return tracks(spark, sf_dir).groupBy("way_id").agg(F.transform(points, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("points"))
+
+
 def sql_point(key: str) -> str:
     return f"CAST({key} * 7919 % 2000003 - 1000000 AS INT) AS lat, CAST({key} * 104729 % 4000037 - 2000000 AS INT) AS lon"
 
@@ -53,6 +68,9 @@ SQL_STOP_NODES = """stop_nodes AS (
   SELECT l_orderkey AS way_id, l_partkey * 1000000 + l_suppkey AS node_id,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey * 1000000 + l_suppkey, l_extendedprice) - 1 AS pos
   FROM lineitem)"""
+SQL_TRACKS = """tracks AS (
+  SELECT way_id, pos, CAST(way_id * 1000 + pos * 37 + event_id * 7919 % 61 AS INT) AS lat, CAST(pos * 53 + event_id * 104729 % 47 AS INT) AS lon
+  FROM (SELECT user_id AS way_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS pos, event_id FROM events))"""
 SQL_METRES = "6378137.0 * sqrt(pow(radians((lon2 - lon1) * 360.0 / 16777216) * cos(radians((lat1 + lat2) * 360.0 / 16777216 / 2)), 2) + pow(radians((lat2 - lat1) * 360.0 / 16777216), 2))"
 SQL_SEGMENTS = f"""segments AS (
   SELECT *, {SQL_METRES} AS metres FROM (

@@ -691,14 +691,15 @@ def _emission(t: FeatureType, labels: list[Column]) -> Column:
 
 def run_rules(
     df: DataFrame, rules: list[Rule], tag_of, options: dict[str, str] | None = None, functions: dict[str, Column] | None = None,
-    namespace: str = NAMESPACE, with_tags: bool = False, marks: list[int] | None = None,
+    namespace: str = NAMESPACE, with_tags: bool = False, marks: list[int] | None = None, applies: Callable | None = None,
 ) -> DataFrame:
     """Adds ``emitted``, an array of what the rules emit, to the rows of df.
 
     ``tag_of(key)`` gives a tag's column, null for a missing one; functions gives those of
     element functions, as ``length()``; options become tags ``<namespace>:option:<key>``. With
     tags, ``tags`` is added, a map of all tags the rules mention as they are at the end. For each
-    rule number in marks, ``fires_<n>`` tells whether it fired.
+    rule number in marks, ``fires_<n>`` tells whether it fired. applies(action, tag) gives the steps
+    of an apply; ``applied`` then lists those that fired, with the numbers of the rule and the action.
     """
     keys = keys_of(rules + [f for r in rules for f in r.final], namespace) | {f"{namespace}:label:{i}" for i in range(1, 5)}
     finals = f"{namespace}:execute_finalize_rules"
@@ -710,9 +711,10 @@ def run_rules(
     labels = [f"{namespace}:label:{i}" for i in range(1, 5)]
     emitted: list[str] = []
     marked: list[str] = []
+    applied: list[str] = []
 
     def changes(rule: Rule) -> bool:
-        return bool(rule.actions) and (not rule.types or rule.types[0].with_actions or not rule.types[0].goes_on)
+        return any(not a.name.startswith("apply") for a in rule.actions) and (not rule.types or rule.types[0].with_actions or not rule.types[0].goes_on)
 
     at = 0
     while at < len(rules):
@@ -729,6 +731,13 @@ def run_rules(
             if marks and n in marks:
                 outs[f"fires_{n}"] = fires
                 marked.append(f"fires_{n}")
+            for k, a in enumerate(r.actions):
+                if applies and a.name.startswith("apply"):
+                    before = acted(r.actions[:k], state.tags(), namespace)
+                    if steps := applies(a, before.__getitem__):
+                        row = F.struct(F.lit(n).alias("rule"), F.lit(k).alias("nth"), F.array(*steps).alias("steps"))
+                        outs[f"applied_{n}_{k}"] = F.when(fires, row)
+                        applied.append(f"applied_{n}_{k}")
             if r.types and r.types[0].goes_on:
                 tags = acted(r.actions, state.tags(), namespace)
                 tags |= {f"{namespace}:default_name": F.lit(r.types[0].default_name)} if r.types[0].default_name else {}
@@ -777,6 +786,8 @@ def run_rules(
     empty = "array<struct<type:int,labels:array<string>,min_res:int,max_res:int,road_class:int,road_speed:int,kind:string>>"
     out = F.array_compact(F.array(*all_out)) if all_out else F.array().cast(empty)
     more = [F.col(c) for c in marked]
+    if applies:
+        more.append((F.array_compact(F.array(*applied)) if applied else F.array()).alias("applied"))
     if with_tags:
         kept = [k for k in sorted(keys) if not k.endswith("()") and not k.startswith(f"{namespace}:if:")]
         pairs = F.array(*[F.struct(F.lit(k).alias("key"), state.tag(k).alias("value")) for k in kept])

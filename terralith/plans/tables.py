@@ -55,6 +55,13 @@ def track_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks(spark, sf_dir).groupBy("way_id").agg(F.transform(points, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("points"))
 
 
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(way_id, points with node_id, status, priority) of orders, as ways over parts."""
+    lines = ways.assembled(way_nodes(spark, sf_dir), nodes(spark, sf_dir)).select("way_id", F.transform("points", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), p["node_id"].alias("node_id"))).alias("points"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("way_id"), F.col("o_orderstatus").alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"))
+    return lines.join(orders, "way_id")
+
+
 def sql_point(key: str) -> str:
     return f"CAST({key} * 7919 % 2000003 - 1000000 AS INT) AS lat, CAST({key} * 104729 % 4000037 - 2000000 AS INT) AS lon"
 
@@ -71,6 +78,8 @@ SQL_STOP_NODES = """stop_nodes AS (
 SQL_TRACKS = """tracks AS (
   SELECT way_id, pos, CAST(way_id * 1000 + pos * 37 + event_id * 7919 % 61 AS INT) AS lat, CAST(pos * 53 + event_id * 104729 % 47 AS INT) AS lon
   FROM (SELECT user_id AS way_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS pos, event_id FROM events))"""
+SQL_ROADS = """ends AS (SELECT way_id, min_by(node_id, pos) AS first_node, max_by(node_id, pos) AS last_node, CAST(count(*) AS INT) AS n FROM way_nodes GROUP BY 1),
+roads AS (SELECT way_id, first_node, last_node, n, o_orderstatus AS status, CAST(substring(o_orderpriority, 1, 1) AS INT) AS priority FROM ends JOIN orders ON o_orderkey = way_id)"""
 SQL_METRES = "6378137.0 * sqrt(pow(radians((lon2 - lon1) * 360.0 / 16777216) * cos(radians((lat1 + lat2) * 360.0 / 16777216 / 2)), 2) + pow(radians((lat2 - lat1) * 360.0 / 16777216), 2))"
 SQL_SEGMENTS = f"""segments AS (
   SELECT *, {SQL_METRES} AS metres FROM (

@@ -177,7 +177,7 @@ def crossing(a: Column, b: Column, c: Column, d: Column) -> Column:
     y = lambda p: p["lat"].cast("long")
     by = (y(b) - y(a)) * (x(d) - x(c)) - (y(d) - y(c)) * (x(b) - x(a))
     on_ab = ((y(d) - y(c)) * (x(a) - x(d)) - (y(a) - y(d)) * (x(d) - x(c))) / by
-    on_cd = ((y(b) - y(a)) * (x(a) - x(c)) - (y(a) - y(c)) * (x(b) - x(a))) / -by
+    on_cd = ((y(b) - y(a)) * (x(a) - x(c)) - (y(a) - y(c)) * (x(b) - x(a))) / by
     meets = (by != 0) & on_ab.between(0, 1) & on_cd.between(0, 1)
     at = lambda v, p, q: F.floor(v(p) + on_ab * (v(q) - v(p)) + 0.5).cast("int")
     return F.when(by != 0, F.when(meets, F.struct(at(y, a, b).alias("lat"), at(x, a, b).alias("lon"))))

@@ -120,8 +120,8 @@ def nearest_named(points: DataFrame, cities: DataFrame, most: int) -> DataFrame:
     return near.groupBy("id").agg(F.min(F.struct("d2", "city")).alias("b")).select("id", "b.city", "b.d2")
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, most: int) -> DataFrame:
-    """(id, road, pos, d2, share): the nearest road segment of each point within ``most`` units.
+def nearest_segment(points: DataFrame, segments: DataFrame, most: int, same: Column | None = None) -> DataFrame:
+    """(id, road, pos, d2, share): the nearest road segment of each point within ``most`` units, of those for which ``same`` holds.
 
     points has id, lat, lon; segments has road, pos, lat, lon, to_lat, to_lon. Distances are flat, in
     squared units; a segment takes part in every cell of its box and the cells around it.
@@ -133,6 +133,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, most: int) -> DataFr
     )
     spread = segments.select("road", "pos", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.col("to_lat").alias("b_lat"), F.col("to_lon").alias("b_lon"), F.explode(cells_of(box, 4 * most)).alias("c"))
     near = points.withColumn("c", F.struct(_cell(F.col("lon"), 4 * most).alias("cx"), _cell(F.col("lat"), 4 * most).alias("cy"))).join(spread, "c")
+    near = near if same is None else near.where(same)
     size = (y2 - y1) * (y2 - y1) + (x2 - x1) * (x2 - x1)
     share = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((y - y1) * (y2 - y1) + (x - x1) * (x2 - x1)) / size)))
     near = near.withColumn("share", share)

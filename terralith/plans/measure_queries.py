@@ -89,7 +89,7 @@ def crossings(spark, sf_dir):
 
 CROSSINGS_SQL = f"""WITH {_SQL_PAIRS}, s AS (SELECT id, CAST(lat AS BIGINT) AS y1, CAST(lon AS BIGINT) AS x1, CAST(lat2 AS BIGINT) AS y2, CAST(lon2 AS BIGINT) AS x2, -900000::BIGINT AS y3, -1500000::BIGINT AS x3, 800000::BIGINT AS y4, 1900000::BIGINT AS x4 FROM q),
 d AS (SELECT *, (y2 - y1) * (x4 - x3) - (y4 - y3) * (x2 - x1) AS dv FROM s),
-h AS (SELECT *, ((y4 - y3) * (x1 - x4) - (y1 - y4) * (x4 - x3)) / CAST(dv AS DOUBLE) AS h, ((y2 - y1) * (x1 - x3) - (y1 - y3) * (x2 - x1)) / CAST(-dv AS DOUBLE) AS g FROM d WHERE dv <> 0)
+h AS (SELECT *, ((y4 - y3) * (x1 - x4) - (y1 - y4) * (x4 - x3)) / CAST(dv AS DOUBLE) AS h, ((y2 - y1) * (x1 - x3) - (y1 - y3) * (x2 - x1)) / CAST(dv AS DOUBLE) AS g FROM d WHERE dv <> 0)
 SELECT id, CAST(floor(y1 + h * (y2 - y1) + 0.5) AS INT) AS lat, CAST(floor(x1 + h * (x2 - x1) + 0.5) AS INT) AS lon FROM h WHERE h BETWEEN 0 AND 1 AND g BETWEEN 0 AND 1"""
 
 

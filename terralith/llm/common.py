@@ -54,6 +54,12 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def adopted(df: DataFrame, path: str) -> DataFrame:
+    """df, whose files at the path are a working table from now on."""
+    _WORKING.append(path)
+    return df
+
+
 def working_mark() -> int:
     return len(_WORKING)
 
@@ -65,6 +71,52 @@ def delete_since(spark: SparkSession, mark: int) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of a mark table; with n ids about n in so many others are taken for marked.
+MARK_BITS = 25
+
+
+def _mark(columns: tuple) -> tuple[Column, Column]:
+    h = F.pmod(F.xxhash64(F.lit(4), *columns), F.lit(1 << MARK_BITS))
+    return F.shiftright(h, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+
+
+def marks_of(ids: DataFrame, *columns: str) -> DataFrame:
+    """(word, bits): a bit for the hash of each row's columns; 2**(MARK_BITS - 6) rows at most, whatever the input."""
+    word, bit = _mark(columns)
+    return stored(ids.select(word.alias("mark_word"), bit.alias("mark_bit")).groupBy("mark_word").agg(F.bit_or("mark_bit").alias("mark_bits")), "marks")
+
+
+def may_be_in(df: DataFrame, marks: DataFrame, *columns: str) -> DataFrame:
+    """df with ``may_be``: false only for rows whose columns are surely not among the marked ids.
+
+    So a join with few ids needs to shuffle few of the rows; the marks are broadcast.
+    """
+    word, bit = _mark(columns)
+    out = df.withColumn("mark_word", word).join(F.broadcast(marks), "mark_word", "left")
+    return out.withColumn("may_be", F.coalesce(F.col("mark_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("mark_word", "mark_bits")
+
+
+#: A key of over a HOT-th of all rows is hot: there are fewer than HOT of them.
+HOT = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, n_left: int, spread: str) -> DataFrame:
+    """left with the columns of right by a key that right has once, null where it has none.
+
+    right also has n, the number of left's rows with the key. Rows of hot keys meet broadcast rows; in the
+    join by shuffle they are dealt by the column ``spread``, so no task gets all rows of a key.
+    """
+    names = [c for c in right.columns if c not in (key, "n")]
+    value = F.struct(*names)
+    is_hot = F.col("n") * HOT > n_left
+    hot = F.broadcast(right.where(is_hot).select(key, value.alias("hot_value")))
+    cold = right.where(~is_hot).select(F.col(key).cast("string").alias("join_key"), value.alias("cold_value"))
+    out = left.join(hot, key, "left")
+    out = out.withColumn("join_key", F.coalesce(F.when(F.col("hot_value").isNull(), F.col(key).cast("string")), F.col(spread).cast("string")))
+    out = out.join(cold, "join_key", "left").withColumn("value", F.coalesce("hot_value", "cold_value"))
+    return out.select(*left.columns, *[F.col(f"value.{c}").alias(c) for c in names])
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, col, packed, stored, unpacked
+from .common import ROW, col, marks_of, may_be_in, packed, stored, unpacked
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -135,10 +135,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     runs = LineRuns(min_docs, fanout)
     for number in range(len(cuts) + 1):
         runs.add(hashes.where(F.col("batch") == number))
-    dropped = dropped_places(hashes, runs.close())
+    dropped = stored(dropped_places(hashes, runs.close()), "dropped-lines")
 
     rows = docs.select(packed(docs)).withColumn("doc_id", F.col(ROW).getField("doc_id")).withColumn("text_hash", text_hash(F.col(ROW).getField("text")))
-    rows = rows.join(dropped, ["doc_id", "text_hash"], "left").withColumn("lines", lines_of(F.col(ROW).getField("text")))
+    # Rows that surely lose nothing stay where they are.
+    rows = may_be_in(rows, marks_of(dropped, "doc_id", "text_hash"), "doc_id", "text_hash")
+    whole = rows.where("not may_be").withColumn("places", F.lit(None).cast("array<int>"))
+    rows = rows.where("may_be").join(dropped, ["doc_id", "text_hash"], "left").unionByName(whole).withColumn("lines", lines_of(F.col(ROW).getField("text")))
     # array_except works with a hash set, so the time for a text grows with its lines and no faster.
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("places", F.array().cast("array<int>")))
     kept = F.when(F.col("places").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get("lines", i)))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROW, col, packed, small_batches, stored, unpacked
+from .common import ROW, col, marks_of, may_be_in, packed, small_batches, stored, unpacked
 
 WORDS, SIMILAR = 5, 75
 #: Coordinates, and how many must agree. A pair at the bound agrees on 48 of 64 on average;
@@ -340,7 +340,7 @@ def link(docs: DataFrame, matches: int = MATCHES) -> DataFrame:
     # The set of a class comes from one of its rows.
     first = rows.join(nodes.select("node", "f1", "f2", F.col("n").alias("n_shingles"), "doc_id"), ["f1", "f2", "n_shingles", "doc_id"])
     first = stored(first.groupBy("node", "doc_id").agg(F.min("text_hash").alias("text_hash")), "first-rows")
-    named = docs.withColumn("text_hash", text_hash(F.col("text")))
+    named = may_be_in(docs.withColumn("text_hash", text_hash(F.col("text"))), marks_of(first, "doc_id", "text_hash"), "doc_id", "text_hash").where("may_be")
     sets = stored(shingle_sets(named.join(first, ["doc_id", "text_hash"]).select("node", "text")), "sets").dropDuplicates(["node"])
 
     lists = stored(_banded(postings, nodes), "lists")
@@ -405,10 +405,13 @@ def keep_one(docs: DataFrame, matches: int = MATCHES) -> DataFrame:
     found = stored(link(own, matches), "linked")
     kept = found.where("n_shingles > 0 and doc_id = component_id").groupBy("label", "doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most"), F.count(F.lit(1)).alias("n"))
     several = stored(kept.where("n > 1"), "repeated")
-    gone = found.where("doc_id <> component_id").select("doc_id", "text_hash")
+    gone = stored(found.where("doc_id <> component_id").select("doc_id", "text_hash"), "not-kept")
     rows = docs.select(packed(docs)).withColumn("doc_id", F.col(ROW).getField("doc_id").cast("long")).withColumn("text_hash", text_hash(F.col(ROW).getField("text")))
     if several.isEmpty():
-        return unpacked(rows.join(gone, ["doc_id", "text_hash"], "left_anti"), docs.columns)
+        # Rows that are surely kept stay where they are.
+        rows = may_be_in(rows, marks_of(gone, "doc_id", "text_hash"), "doc_id", "text_hash")
+        checked = rows.where("may_be").join(gone, ["doc_id", "text_hash"], "left_anti")
+        return unpacked(rows.where("not may_be").unionByName(checked), docs.columns)
     other = found.where("doc_id = component_id").join(several.where("least <> most").select("label", "least"), "label").where("text_hash <> least").select("doc_id", "text_hash")
     rows = rows.join(gone.union(other).distinct(), ["doc_id", "text_hash"], "left_anti")
     first = several.select("doc_id", F.col("least").alias("text_hash"))

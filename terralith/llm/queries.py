@@ -17,4 +17,4 @@ QUERIES = {
     "op10_best_fit_packing": packing.query,
 }
 
-ORACLE_SQL = {"op3_minhash_near_dedup": near_dedup.SQL, "op8_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op3_minhash_near_dedup": near_dedup.SQL, "op5_warc": warc.SQL, "op8_line_dedup": line_dedup.SQL}

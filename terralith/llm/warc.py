@@ -8,6 +8,11 @@ ISO timestamps, and writes one WARC file for each ARC file: a version block beco
 ``warcinfo`` record, a record with an HTTP response a ``response`` or ``revisit``, any other
 a ``resource``.
 
+ARC files may be packed, a member of gzip for each record, or plain. A header line or version block that cannot be
+read, a corrupt member and a record that ends too soon are problems: each is listed with its place and the reason,
+and reading goes on at the next header line, after corruption at the next member. A date that is
+too short is filled up, one that is no date gives way to that of the version block.
+
 Files are written to the shared folder through pyarrow's file systems, each under a name of
 its own attempt; a task returns the paths of its complete files, and only those that a
 finished task returned are ever read, so a lost executor costs a rerun and no more.
@@ -22,13 +27,14 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, new_path, small_batches, stored
+from .common import col, new_path, small_batches, spread_join, stored
 
 V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
@@ -74,31 +80,59 @@ class Writer:
         return self.uri
 
 
+class Corrupt(ValueError):
+    """Data that cannot be unpacked, or ends within a record."""
+
+
 class Members:
-    """Reads bytes and lines across the gzip members of a file, a block at a time."""
+    """Reads bytes and lines of a file, plain or across its gzip members, a block at a time."""
 
     def __init__(self, uri: str):
         fs, path = file_system(uri)
-        self.source, self.buffer, self.at, self.packed = fs.open_input_stream(path, compression=None), bytearray(), 0, b""
-        self.unpacker, self.ended = zlib.decompressobj(31), False
+        self.source, self.buffer, self.at = fs.open_input_stream(path, compression=None), bytearray(), 0
+        self.packed = self.source.read(1 << 18)
+        self.unpacker = zlib.decompressobj(31) if self.packed[:2] == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
-        if self.unpacker.eof:
+        if self.unpacker is not None and self.unpacker.eof:
             self.packed, self.unpacker = self.unpacker.unused_data, zlib.decompressobj(31)
         if not self.packed:
             self.packed = self.source.read(1 << 18)
             if not self.packed:
-                self.ended = True
                 return False
-        self.buffer += self.unpacker.decompress(self.packed)
-        self.packed = b""
+        data, self.packed = self.packed, b""
+        if self.unpacker is None:
+            self.buffer += data
+            return True
+        try:
+            self.buffer += self.unpacker.decompress(data)
+        except zlib.error as e:
+            self.packed = data
+            raise Corrupt(f"a member cannot be unpacked: {e}") from None
+        return True
+
+    def resume(self) -> bool:
+        """Goes on at the next member after corruption; False if there is none."""
+        self.at += len(self.buffer)
+        self.buffer.clear()
+        if self.unpacker is None:
+            return False
+        data = self.packed[1:]
+        while (start := data.find(b"\x1f\x8b\x08")) < 0:
+            more = self.source.read(1 << 18)
+            if not more:
+                return False
+            data = data[-2:] + more
+        self.packed, self.unpacker = data[start:], zlib.decompressobj(31)
         return True
 
     def read(self, n: int) -> bytes:
         while len(self.buffer) < n and self._more():
             pass
         if len(self.buffer) < n:
-            raise ValueError(f"a record declares {n} bytes and has {len(self.buffer)}")
+            self.at += len(self.buffer)
+            self.buffer.clear()
+            raise Corrupt(f"a record declares {n} bytes and ends before")
         out = bytes(self.buffer[:n])
         del self.buffer[:n]
         self.at += n
@@ -161,27 +195,63 @@ def write_arc(pages: DataFrame, folder: str) -> DataFrame:
     return stored(pages.mapInPandas(run, "path string"), "arc-files")
 
 
+def _header(line: bytes, names: list[str]) -> dict | str:
+    """The fields of a record's header line, or what is wrong with it."""
+    values = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
+    if not values[0].startswith("filedesc://") and len(values) != len(names):
+        return f"a header has {len(values)} fields, the version block names {len(names)}"
+    if not values[-1].isascii() or not values[-1].isdigit():
+        return "a header declares no length"
+    if values[0].startswith("filedesc://"):
+        names = V1_FIELDS.lower().split() if len(values) == 5 else V2_FIELDS.lower().split()
+    return dict(zip(names, values)) | {"archive-length": int(values[-1])}
+
+
 def read_arc(path: str) -> Iterator[dict]:
-    """The records of an ARC file, the version block first, with their offsets."""
-    source, names = Members(path), V1_FIELDS.lower().split()
+    """The records of an ARC file, the version block first, with their offsets; and its problems, as {at, problem}.
+
+    Lines after a header that cannot be read are passed over, one problem for all of them, up to one that can.
+    """
+    source, names, default, lost = Members(path), V1_FIELDS.lower().split(), None, False
     while True:
         at = source.at
-        line = source.line()
-        if line is None:
-            return
-        if not line.strip():
+        try:
+            line = source.line()
+            if line is None:
+                return
+            if not line.strip():
+                continue
+            record = _header(line, names)
+            if isinstance(record, str):
+                if not lost:
+                    yield {"at": at, "problem": record}
+                lost = True
+                continue
+            lost = False
+            record |= {"at": at, "body": source.read(record["archive-length"])}
+        except Corrupt as e:
+            yield {"at": at, "problem": str(e)}
+            if not source.resume():
+                return
             continue
-        values = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
-        declared = int(values[-1])
-        record = {"at": at, "body": source.read(declared)}
-        if values[0].startswith("filedesc://"):
+        if record["url"].startswith("filedesc://"):
+            default = record["archive-date"]
             lines = record["body"].decode("utf-8", "replace").split("\n")
-            if lines[0].split(" ")[0] not in ("1", "2"):
-                raise ValueError(f"unknown ARC version in {path}: {lines[0]!r}")
-            names = lines[1].lower().split()
-        elif len(values) != len(names):
-            raise ValueError(f"a header of {path} has {len(values)} fields, its version block names {len(names)}")
-        yield record | dict(zip(names, values)) | {"archive-length": declared}
+            if lines[0].split(" ")[0] in ("1", "2") and len(lines) > 1:
+                names = lines[1].lower().split()
+            else:
+                yield {"at": at, "problem": f"unknown version {lines[0][:40]!r}"}
+        yield record | {"archive-date": whole_date(record["archive-date"], default)}
+
+
+def whole_date(date: str, default: str | None = None) -> str:
+    """Fourteen digits that are a date: a short one is filled up; for one that is none the default, else the start of 1970."""
+    filled = date + "00000101000000"[len(date) :] if date.isdigit() and 4 <= len(date) <= 14 else ""
+    try:
+        datetime.strptime(filled, "%Y%m%d%H%M%S")
+    except ValueError:
+        return whole_date(default) if default else "19700101000000"
+    return filled
 
 
 def payload_of(body: bytes) -> tuple[bytes, bytes] | None:
@@ -203,26 +273,31 @@ def record_id(path: str, offset: int, payload_digest: str) -> str:
 
 
 def index_arc(files: DataFrame) -> DataFrame:
-    """(path, offset, record_id, page_id, url, date, payload_bytes, payload_digest, http) of all records."""
+    """(path, offset, record_id, page_id, url, date, payload_bytes, payload_digest, http, problem) of all records.
+
+    A problem is a row with its path, offset and problem alone.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "offset", "record_id", "page_id", "url", "date", "payload_bytes", "payload_digest", "http"]
+        columns = ["path", "offset", "record_id", "page_id", "url", "date", "payload_bytes", "payload_digest", "http", "problem"]
         for batch in batches:
             for path in batch["path"]:
                 rows = []
                 for r in read_arc(path):
+                    if "problem" in r:
+                        rows.append((path, r["at"], *[None] * 7, r["problem"]))
+                        continue
                     if r["url"].startswith("filedesc://"):
                         continue
                     parts = payload_of(r["body"])
                     head, payload = parts if parts else (b"", r["body"])
                     page_id = http_field(head, "X-Page-Id")
                     mark = digest(payload)
-                    rows.append((path, r["at"], record_id(path, r["at"], mark), int(page_id) if page_id else None, r["url"], r["archive-date"], len(payload), mark, parts is not None))
+                    rows.append((path, r["at"], record_id(path, r["at"], mark), int(page_id) if page_id and page_id.isdigit() else None, r["url"], r["archive-date"], len(payload), mark, parts is not None, None))
                 frame = pd.DataFrame(rows, columns=columns)
-                frame["page_id"] = frame["page_id"].astype("Int64")
-                yield frame
+                yield frame.astype({"page_id": "Int64", "payload_bytes": "Int64", "http": "boolean"})
 
-    schema = "path string, offset long, record_id string, page_id long, url string, date string, payload_bytes long, payload_digest string, http boolean"
+    schema = "path string, offset long, record_id string, page_id long, url string, date string, payload_bytes long, payload_digest string, http boolean, problem string"
     return stored(files.mapInPandas(run, schema), "arc-index")
 
 
@@ -244,9 +319,11 @@ def convert(index: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         path = group["path"].iloc[0]
         plan = {r.offset: r for r in group.itertuples()}
-        name = posixpath.basename(path).replace(".arc.gz", ".warc.gz")
+        name = re.sub(r"(\.arc)?(\.gz)?$", "", posixpath.basename(path)) + ".warc.gz"
         writer = Writer(folder, name)
         for r in read_arc(path):
+            if "problem" in r or r["at"] not in plan and not r["url"].startswith("filedesc://"):
+                continue
             date = ("WARC-Date", iso(r["archive-date"]))
             if r["url"].startswith("filedesc://"):
                 info = f"converted-from: {posixpath.basename(path)}\r\n".encode() + r["body"]
@@ -263,9 +340,13 @@ def convert(index: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
                 writer.add(warc_record([("WARC-Type", "revisit"), *fields], parts[0]))
         return pd.DataFrame({"path": [writer.close()]})
 
+    index = index.where("problem is null")
     same = (F.col("payload_bytes") >= min_bytes) & F.col("http")
-    first = index.where(same).groupBy("payload_digest").agg(F.max(F.struct("page_id", "record_id")).alias("r")).select("payload_digest", F.col("r.record_id").alias("response"))
-    planned = index.join(first, "payload_digest", "left").withColumn("response_id", F.when(same, F.col("response")).otherwise(F.col("record_id")))
+    # Payloads that are there once need no look-up.
+    first = index.where(same).groupBy("payload_digest").agg(F.max(F.struct("page_id", "record_id")).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stored(first.select("payload_digest", F.col("r.record_id").alias("response"), "n"), "responses")
+    planned = spread_join(index, first, "payload_digest", index.count(), "record_id")
+    planned = planned.withColumn("response_id", F.when(same, F.coalesce("response", "record_id")).otherwise(F.col("record_id")))
     # One ARC file has FILE_BYTES bytes and one record more at most, so a group is bounded.
     planned = planned.select("path", "offset", "record_id", "payload_digest", "response_id")
     return stored(planned.groupBy("path").applyInPandas(run, "path string"), "warc-files")
@@ -331,9 +412,24 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spread = lambda files: files.repartition(max(1, min(files.count(), 10_000)))
     warcs = convert(index_arc(spread(arcs)), new_path(spark, "warc"), min_bytes)
     back = stored(read_back(spread(warcs)), "warc-index")
-    responses = back.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
-    return back.join(responses, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    revisits = back.where("record_type = 'revisit'")
+    counts = revisits.groupBy("refers_id").agg(F.count(F.lit(1)).alias("n"))
+    responses = back.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")).join(counts, "refers_id")
+    met = spread_join(revisits, stored(responses, "responses"), "refers_id", revisits.count(), "record_id")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return back.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(met.select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: The records and their links as SQL; the digest in base32 is made from groups of five hex digits.
+SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS h FROM p),
+e AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, CAST(i * 5 + 1 AS INT), 5) AS BIGINT)) AS g FROM d),
+f AS (SELECT page_id, payload_bytes, array_to_string(list_transform(g, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) & 31 AS INT) + 1, 1)), '')), '') AS payload_digest FROM e),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
+"""

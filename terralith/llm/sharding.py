@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import ROW, col, packed, stored
 
-SHARDS, ROUNDS = 16, 5
+#: Rounds end once no document moves, or after so many.
+SHARDS, ROUNDS = 16, 30
 #: Rows that share a rank window on average.
 RANK_ROWS = 200_000
 
@@ -134,6 +135,12 @@ def assign(docs: DataFrame, link: Column, shards: int = SHARDS, rounds: int = RO
     return stay.unionByName(move).drop("at", "over", "size", "group")
 
 
+def cut_links(placed: DataFrame) -> int:
+    """The links (pairs of rows with an equal ``group``) whose ends are in different shards."""
+    held = placed.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    return held.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0.0)).cast("long")).first()[0]
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document.
 

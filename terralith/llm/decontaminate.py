@@ -14,14 +14,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, small_batches
+from .common import col, small_batches, stored
 
 ERROR_RATE = 0.1
 #: Items shorter than this (after folding) are searched for without edits, at word bounds.
@@ -242,16 +241,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     """
     small_batches(docs.sparkSession)
     own = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"))
-    parts = [own.select("doc_id", F.explode(searcher(b, error_rate)("text")).alias("m")) for b in blocks(benchmark, error_rate, block_chars)]
-    return reduce(DataFrame.unionByName, parts).select("doc_id", "m.item_id", "m.distance", F.col("m.end").alias("match_end"))
+    found = None
+    for block in blocks(benchmark, error_rate, block_chars):
+        if found is not None and not block:
+            break
+        part = own.select("doc_id", F.explode(searcher(block, error_rate)("text")).alias("m")).select("doc_id", "m.item_id", "m.distance", F.col("m.end").alias("match_end"))
+        # A block's matches are written before the next block is read, so the driver has one block at a time.
+        found = part if found is None else stored(found, "leaks").unionByName(stored(part, "leaks"))
+    return found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     small_batches(docs.sparkSession)
-    for b in blocks(benchmark, error_rate, block_chars):
-        if b:
-            docs = docs.where(F.size(searcher(b, error_rate)(col("text"))) == 0)
+    first = True
+    for block in blocks(benchmark, error_rate, block_chars):
+        if block:
+            docs = docs if first else stored(docs, "clean")
+            docs, first = docs.where(F.size(searcher(block, error_rate)(col("text"))) == 0), False
     return docs
 
 

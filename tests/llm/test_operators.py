@@ -347,6 +347,146 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(pages.where("false")).count() == 0
 
 
+def arc_text(version, records, date="20040102030405"):
+    names = warc.V1_FIELDS if version == 1 else warc.V2_FIELDS
+    body = f"{version} 0 X\n{names}\n\n".encode()
+    out = [f"filedesc://a 0.0.0.0 {date} text/plain {len(body)}\n".encode() + body + b"\n"]
+    for url, when, payload in records:
+        block = warc.http_response(int(url.rsplit("/", 1)[1]), payload)
+        middle = "200 - - 0 a " if version == 2 else ""
+        out.append(f"{url} 1.2.3.4 {when} text/html {middle}{len(block)}\n".encode() + block + b"\n")
+    return out
+
+
+def test_arcs_that_are_plain_or_damaged(spark, tmp_path):
+    good = arc_text(1, [("http://a/1", "2005", b"one"), ("http://a/2", "never", b"two"), ("http://a/3", "20051301000000", b"three")])
+    two = arc_text(2, [("http://b/4", "20060708", b"four"), ("http://b/5", "20060708091011", b"five")])
+    files = {
+        "plain.arc": b"".join(good), "packed.arc.gz": b"".join(warc.member(r) for r in two),
+        "lines.arc": good[0] + b"no header at all\nnor this one\n" + b"".join(good[1:]),
+        "short.arc": b"".join(good)[:-20], "version.arc": good[0].replace(b"\n1 0 X", b"\n7 0 X") + good[1], "empty.arc": b"",
+        "torn.arc.gz": warc.member(two[0]) + warc.member(two[1])[:40] + b"\xff" * 30 + warc.member(two[2]),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in files], "path string")
+    index = warc.index_arc(paths)
+    rows = {}
+    for r in index.collect():
+        rows.setdefault(r.path.rsplit("/", 1)[1], []).append(r)
+    ids = lambda name: sorted(r.page_id for r in rows.get(name, []) if r.problem is None)
+    problems = lambda name: [r.problem for r in rows.get(name, []) if r.problem]
+    assert ids("plain.arc") == [1, 2, 3] and not problems("plain.arc") and ids("packed.arc.gz") == [4, 5] and not problems("packed.arc.gz")
+    assert ids("lines.arc") == [1, 2, 3] and len(problems("lines.arc")) == 1
+    assert ids("short.arc") == [1, 2] and "ends before" in problems("short.arc")[0]
+    assert ids("version.arc") == [1] and "unknown version" in problems("version.arc")[0] and "empty.arc" not in rows
+    assert ids("torn.arc.gz") == [5] and len(problems("torn.arc.gz")) == 1
+    assert {r.page_id: r.date for r in rows["plain.arc"]} == {1: "20050101000000", 2: "20040102030405", 3: "20040102030405"}
+    back = warc.read_back(warc.convert(index, str(tmp_path / "out"))).collect()
+    assert sorted(r.page_id for r in back) == sorted(i for n in files for i in ids(n))
+    kinds = [r.record_type for r in back if r.page_id == 1]
+    assert sorted(kinds) == ["response", "revisit", "revisit", "revisit"]
+
+
+def test_spread_join(spark):
+    from terralith.llm.common import spread_join
+
+    left = spark.createDataFrame([(i, "hot" if i < 50 else f"k{i}") for i in range(60)] + [(99, None)], "id long, key string")
+    right = spark.createDataFrame([("hot", 50_000_000, 1), ("k55", 1, 2)], "key string, n long, v int")
+    got = {r.id: r.v for r in spread_join(left, right, "key", 60_000_000, "id").collect()}
+    assert got == {i: 1 if i < 50 else 2 if i == 55 else None for i in [*range(60), 99]}
+
+
+def test_sharding_cuts_fewer_links_than_a_hash(spark):
+    rng = random.Random(8)
+    docs = docs_of(spark, [(i, f"t{rng.randrange(200)}") for i in range(1000)] + [(i, "hot") for i in range(1000, 1400)]).select("doc_id", "text")
+    group = F.xxhash64("text")
+    placed = sharding.assign(docs, group).join(docs.select("doc_id", group.alias("group")), "doc_id")
+    dealt = docs.select(group.alias("group"), F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("shard"))
+    hot = spark.createDataFrame([("hot",)], "t string").select(F.xxhash64("t")).first()[0]
+    small = lambda df: sharding.cut_links(df.where(F.col("group") != hot))
+    print("cut", sharding.cut_links(placed), sharding.cut_links(dealt), small(placed), small(dealt))
+    # A group of 400 rows fills four shards and a half; the small ones need not be cut at all.
+    assert sharding.cut_links(placed) < 0.95 * sharding.cut_links(dealt) and small(placed) < 0.3 * small(dealt)
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """run() on a small folder, and a plain chain of its stages; the classifier's verdicts are taken from its own scores."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    sentence = lambda: " ".join(rng.choice(["river", "bridge", "town", "hill", "light", "over", "under", "people"]) for _ in range(9)).capitalize() + "."
+    item = "what is the tallest bridge over the river of the old town"
+    texts = {i: "\n".join(sentence() for _ in range(rng.randrange(2, 7))) for i in range(1, 61)}
+    for i in range(61, 71):
+        texts[i] = texts[i - 60] if i % 2 else texts[i - 60].replace("river", "stream", 1)
+    for i in range(20, 28):
+        texts[i] += f"\n{LINE} indeed"
+    texts[30] += "\n" + item.upper()
+    texts[31] = "so " + item.replace("old", "odd") + " then"
+    for i in range(71, 101):
+        texts[i] = "".join(rng.choice("#$%&|~^ 0129") for _ in range(300))
+    texts |= {101: "", 102: None, 103: " \n "}
+    (tmp_path / "d").mkdir()
+    docs_of(spark, list(texts.items()) + [(None, "no id here")]).write.parquet(str(tmp_path / "d" / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 71), 0) for i in range(1, 101)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "d" / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "d" / "benchmark.parquet"))
+    sf = str(tmp_path / "d")
+
+    verdicts = quality.score_documents(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    good = {r.doc_id for r in verdicts if r.predicted}
+    assert len(good & set(range(1, 71))) > 60 and not good & set(range(71, 101))
+    left = {i: t for i, t in [*texts.items(), (None, "no id here")] if i in good}
+
+    key = lambda line: line.strip(" \t\n\v\f\r").lower()
+    holders = {}
+    for i, t in left.items():
+        for line in {key(x) for x in (t or "").split("\n")}:
+            if i is not None and len(line) >= 40:
+                holders.setdefault(line, set()).add(i)
+    gone = {k: max(v) for k, v in holders.items() if len(v) >= 5}
+    assert gone
+    lines = {i: t if t is None or i is None else "\n".join(x for x in t.split("\n") if gone.get(key(x), i) == i) for i, t in left.items()}
+
+    sets = {i: shingles(t) for i, t in lines.items() if i is not None}
+    label = {i: i for i in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert any(label[i] != i for i in label)
+    single = {i: t for i, t in lines.items() if i is None or label[i] == i}
+
+    clean = {i: t for i, t in single.items() if distance(item, decontaminate.folded(t)) > len(item) // 10}
+    assert len(clean) < len(single)
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = []
+    for i, t in clean.items():
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4")
+        want += [(i, k, at, len(p := ids[at : at + 4096]), zlib.crc32(p.tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    rows = corpus_pipeline.run(spark, sf).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=order) == sorted(want, key=order)
+    for s in {r.sequence_id for r in rows}:
+        end = 0
+        for r in sorted((r for r in rows if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == end
+            end += r.length
+        assert end <= 4096
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs_of(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_licences(spark):
     files = [
         (1, "r/LICENSE", "Released under the MIT License."), (2, "r/a/x", "Nothing here."), (3, "r/a/b/COPYING.txt", "Text. Licensed under the Apache License, Version 2.0.\nMore."),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terralith.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from terralith.llm.common import read, stored
+from terralith.llm.common import adopted, delete_since, new_path, read, working_mark
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The packed pieces of the documents that all stages keep.
+
+    A stage's working tables, and the documents it read, are deleted once its own rows are written. Empty tables
+    give an empty result; nulls and further columns are treated as each operator's docstring says.
+    """
+    docs, mark = read(spark, sf_dir, "documents"), working_mark()
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        path = new_path(spark, f"stage-{name}")
+        made.write.option("compression", "zstd").parquet(path)
+        delete_since(spark, mark)
+        docs = adopted(spark.read.schema(made.schema).parquet(path), path)
     return docs

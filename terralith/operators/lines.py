@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -268,6 +269,32 @@ def split_by_size(most: int, points_type: str = "array<struct<lat:int,lon:int>>"
     return run
 
 
+def smoothed(points: list[tuple[int, int]], step: int) -> list[tuple[int, int]]:
+    """A line whose points are the means of neighbours: a new point is set once the mean is ``step`` units from the last one; ends stay."""
+    if len(points) <= 5 or step <= 0:
+        return points
+    out, run = [points[0]], []
+    for p in points[1:]:
+        run.append(p)
+        mean = (sum(y for y, _ in run) // len(run), sum(x for _, x in run) // len(run))
+        if abs(mean[0] - out[-1][0]) + abs(mean[1] - out[-1][1]) > step:
+            out.append(mean)
+            # A point that took part in a mean with others begins the next one.
+            run = [p] if len(run) > 1 else []
+    return out if out[-1] == points[-1] else [*out, points[-1]]
+
+
+def smooth(shift: int, spacing: int = 5):
+    """A column function over lines at a level of 24 - shift bits; at shift 0 they stay as they are."""
+
+    @F.pandas_udf("array<struct<lat:int,lon:int>>")
+    def run(lines: pd.Series) -> pd.Series:
+        step = spacing << shift if shift else 0
+        return pd.Series([None if line is None else [{"lat": y, "lon": x} for y, x in smoothed([(p["lat"], p["lon"]) for p in line], step)] for line in lines], dtype=object)
+
+    return run
+
+
 def filter_lines(lines: DataFrame, resolution: int, level: int, min_size: int = 1, error: float = ERROR, roads_exempt: bool = True) -> DataFrame:
     """The chain for lines (points, is_road, skip_size_filter, ..) at a level: rounding, size, simplification, splitting, emptiness, obsolete points.
 

@@ -128,11 +128,11 @@ def roundabout_direction(points: Column) -> Column:
     return F.when(n > 2, F.aggregate(F.transform(third, lambda x: vote(x["s"]["a"], x["s"]["b"])), F.lit(0), lambda s, v: s + v)).otherwise(0)
 
 
-def merge_pairs(roads: DataFrame, same: list[str], closed_ends: DataFrame | None = None) -> DataFrame:
+def merge_pairs(roads: DataFrame, same: list[str], closed_ends: DataFrame | None = None, most: float = MAX_ANGLE) -> DataFrame:
     """(node_id, first, second, angle): roads that go on in one another, chosen by the smallest turn at each node.
 
-    roads has way_id, points and the columns of ``same``, which must agree; closed_ends lists
-    (node_id, way_id) that must not be merged there. Merging at one node changes no turn at another, so nodes are
+    roads has way_id, points and the columns of ``same``, which must agree; a turn may have ``most``
+    degrees; closed_ends lists (node_id, way_id) that must not be merged there. Merging at one node changes no turn at another, so nodes are
     dealt with side by side; within a node pairs are taken by rising angle, then by way ids.
     """
     end = lambda p, i: [geo.degrees(F.element_at(p, i)[a]) for a in ("lat", "lon")]
@@ -145,7 +145,7 @@ def merge_pairs(roads: DataFrame, same: list[str], closed_ends: DataFrame | None
         out = out.join(closed_ends.select("node_id", F.col("way_id").alias("second")), ["node_id", "second"], "left_anti")
     pairs = into.join(out, "node_id").where(F.col("same").eqNullSafe(F.col("same2")) & (F.col("first") != F.col("second")))
     angle = F.abs(geo.angle_at(F.col("a.col1"), F.col("a.col2"), F.col("a.col3"), F.col("a.col4"), F.col("b.col1"), F.col("b.col2")))
-    pairs = pairs.select("node_id", "first", "second", F.round(angle, 6).alias("angle")).where(F.col("angle") <= MAX_ANGLE)
+    pairs = pairs.select("node_id", "first", "second", F.round(angle, 6).alias("angle")).where(F.col("angle") <= most)
 
     def chosen(group: pd.DataFrame) -> pd.DataFrame:
         used: tuple[set, set] = set(), set()
@@ -181,9 +181,19 @@ def chains(pairs: DataFrame, ways: DataFrame) -> DataFrame:
     return chains(pairs.join(heads, "second", "left_anti"), ways)
 
 
-def merged(roads: DataFrame, same: list[str], closed_ends: DataFrame | None = None) -> DataFrame:
+def merged_lines(lines: DataFrame, same: list[str]) -> DataFrame:
+    """(way_id, points, n_ways): lines (way_id, points, ..) that are no roads joined at equal places, whatever the turn.
+
+    Lines that agree in the columns of ``same``, as type, name and resolutions, are joined end to start, the straightest first.
+    """
+    place = lambda p: geo.point_key(p["lat"], p["lon"])
+    at = F.transform("points", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), place(p).alias("node_id")))
+    return merged(lines.withColumn("points", at), same, most=180.0)
+
+
+def merged(roads: DataFrame, same: list[str], closed_ends: DataFrame | None = None, most: float = MAX_ANGLE) -> DataFrame:
     """(way_id, points, n_ways): roads joined where they go on; the first way of a chain gives the id."""
-    placed = chains(merge_pairs(roads, same, closed_ends), roads)
+    placed = chains(merge_pairs(roads, same, closed_ends, most), roads)
     parts = roads.select("way_id", "points").join(placed, "way_id")
     joined = parts.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("place", "points"))).alias("parts"))
     # Each way after the first begins with the point that the one before ends with.
@@ -363,3 +373,16 @@ def widened(both: DataFrame, least: int = 0x10) -> DataFrame:
 def similar_arcs(both: DataFrame) -> DataFrame:
     """(from_node, to_node, n): pairs of nodes that more than one arc joins with the same length to a metre, as a check."""
     return both.where("forward").groupBy("from_node", "to_node", F.round("metres").alias("metres")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("from_node", "to_node", "metres", "n")
+
+
+def flares(both: DataFrame, oneway: DataFrame, most: float = 40.0) -> DataFrame:
+    """(from_node, way_a, way_b, angle): pairs of one-way arcs that leave a node within ``most`` degrees and end at one other node, as a check.
+
+    oneway lists way_id of one-way roads.
+    """
+    out = both.where("forward").join(oneway.select("way_id").distinct(), "way_id", "left_semi").select("from_node", "to_node", "way_id", "heading")
+    a, b = out.alias("a"), out.alias("b")
+    on = (F.col("a.from_node") == F.col("b.from_node")) & (F.col("a.to_node") == F.col("b.to_node")) & (F.col("a.way_id") < F.col("b.way_id"))
+    turn = F.abs(F.col("a.heading") - F.col("b.heading"))
+    turn = F.when(turn > 180, 360 - turn).otherwise(turn)
+    return a.join(b, on).where(turn <= most).select("a.from_node", F.col("a.way_id").alias("way_a"), F.col("b.way_id").alias("way_b"), F.round(turn, 6).alias("angle"))

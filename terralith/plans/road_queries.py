@@ -246,7 +246,69 @@ def rule_counts(spark, sf_dir):
 RULE_COUNTS_SQL = """WITH p AS (SELECT p_size >= 40 AND p_type LIKE '%BRASS%' AS a, p_size >= 40 AND p_type NOT LIKE '%BRASS%' AS b, p_brand = 'Brand#11' AS e FROM part)
 SELECT CAST(rule AS INT) AS rule, CAST(fired AS BIGINT) AS fired FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS rule, unnest([count(*) FILTER (a), count(*) FILTER (b), count(*) FILTER (b), count(*) FILTER (NOT a AND NOT b AND e), count(*) FILTER (NOT a AND NOT b AND e), count(*) FILTER (NOT a AND NOT b)]) AS fired FROM p)"""
 
+def street_houses(spark, sf_dir):
+    """Orders as houses whose street comes from the relation of their customer, unless they have one."""
+    from ..operators import places
+
+    o = read(spark, sf_dir, "orders")
+    houses = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, "own street").alias("street"))
+    m = o.select((F.col("o_custkey") % 50).alias("rel_id"), F.when(F.col("o_orderstatus") == "O", "house").otherwise("street").alias("role"), F.col("o_orderkey").alias("member_id"))
+    m = m.unionByName(o.where("o_orderkey % 6 = 0").select((F.col("o_orderkey") % 7).alias("rel_id"), F.lit("address").alias("role"), F.col("o_orderkey").alias("member_id")))
+    streets = spark.range(50).select(F.col("id").alias("rel_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("street "), F.col("id"))).alias("name"))
+    return places.street_houses(m, houses, streets)
+
+
+STREET_HOUSES_SQL = """WITH m AS (SELECT o_custkey % 50 AS rel_id, o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey % 7, o_orderkey FROM orders WHERE o_orderkey % 6 = 0),
+n AS (SELECT id, min(rel_id) AS rel_id FROM m WHERE rel_id % 3 > 0 GROUP BY 1)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'own street' WHEN n.id IS NOT NULL THEN 'street ' || n.rel_id END AS street FROM orders LEFT JOIN n ON n.id = o_orderkey"""
+
+
+def relation_points(spark, sf_dir):
+    from ..operators import places
+
+    k = F.col("c_custkey")
+    rels = read(spark, sf_dir, "customer").select(k.alias("rel_id"), (k % 5).cast("string").alias("name"), (k % 2 == 0).alias("administrative"), F.lit(1).alias("lat"), F.lit(2).alias("lon"))
+    o = read(spark, sf_dir, "orders")
+    role = F.when(F.col("o_orderkey") % 9 == 0, "label").when(F.col("o_orderkey") % 4 == 0, "admin_centre").otherwise("outer")
+    m = o.select(F.col("o_custkey").alias("rel_id"), F.col("o_orderkey").alias("pos"), role.alias("role"), (F.col("o_orderkey") % 5).cast("string").alias("name"), (F.col("o_orderkey") % 1000).cast("int").alias("lat"), F.lit(7).alias("lon"))
+    return places.relation_points(rels, m)
+
+
+RELATION_POINTS_SQL = """WITH m AS (SELECT c_custkey AS k, o_orderkey AS o, CAST(o_orderkey % 1000 AS INT) AS y, CASE WHEN o_orderkey % 9 = 0 THEN 'label' WHEN o_orderkey % 4 = 0 THEN 'admin_centre' ELSE 'outer' END AS role FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 5 = o_orderkey % 5),
+g AS (SELECT k, min_by(y, o) FILTER (role = 'label') AS label, max_by(y, o) FILTER (role = 'admin_centre' AND k % 2 = 0) AS centre FROM m GROUP BY 1)
+SELECT c_custkey AS rel_id, CAST(coalesce(label, centre, 1) AS INT) AS lat, CAST(CASE WHEN coalesce(label, centre) IS NULL THEN 2 ELSE 7 END AS INT) AS lon, CASE WHEN label IS NOT NULL THEN 'label' WHEN centre IS NOT NULL THEN 'admin_centre' ELSE 'middle' END AS source FROM customer LEFT JOIN g ON k = c_custkey"""
+
+
+def similar_arcs(spark, sf_dir):
+    both = ways.both_directions(ways.arcs(t.way_nodes(spark, sf_dir), t.nodes(spark, sf_dir)))
+    return roads.similar_arcs(both).select("from_node", "to_node", "n")
+
+
+SIMILAR_ARCS_SQL = f"{_ARCS} SELECT from_node, to_node, count(*) AS n FROM arcs GROUP BY from_node, to_node, round(metres) HAVING count(*) > 1"
+
+
+def matched_houses(spark, sf_dir):
+    """Customers as houses on the nearest road; even ones name a street that half of the roads bear."""
+    from ..operators import places
+
+    seg = ways.segments(t.way_nodes(spark, sf_dir), t.nodes(spark, sf_dir)).where("way_id % 5 = 0")
+    seg = seg.select(F.col("way_id").alias("road"), F.when(F.col("way_id") % 2 == 0, "named").alias("name"), "pos", "lat", "lon", "to_lat", "to_lon")
+    h = t.points(spark, sf_dir, "customer", "c_custkey").select("id", F.col("id").cast("int").alias("number"), F.when(F.col("id") % 2 == 0, "named").alias("street"), "lat", "lon")
+    out = places.matched_houses(h, seg, 40_000)
+    return out.select("id", (F.col("road") % 2).cast("int").alias("odd_road"), F.round("share", 6).alias("share"))
+
+
+MATCHED_HOUSES_SQL = f"""WITH {SQL_NODES}, {SQL_WAY_NODES}, {t.SQL_SEGMENTS}, q AS (SELECT c_custkey AS id, {t.sql_point('c_custkey')} FROM customer),
+s AS (SELECT id, way_id, pos, CAST(lat AS DOUBLE) AS y, CAST(lon AS DOUBLE) AS x, CAST(lat1 AS DOUBLE) AS y1, CAST(lon1 AS DOUBLE) AS x1, CAST(lat2 AS DOUBLE) AS y2, CAST(lon2 AS DOUBLE) AS x2 FROM q, segments WHERE way_id % 5 = 0),
+f AS (SELECT *, CASE WHEN y1 = y2 AND x1 = x2 THEN 0 ELSE greatest(0, least(1, ((y - y1) * (y2 - y1) + (x - x1) * (x2 - x1)) / ((y2 - y1) * (y2 - y1) + (x2 - x1) * (x2 - x1)))) END AS k FROM s),
+d AS (SELECT *, pow(y - (y1 + k * (y2 - y1)), 2) + pow(x - (x1 + k * (x2 - x1)), 2) AS d2 FROM f)
+SELECT id, CAST(way_id % 2 AS INT) AS odd_road, round(k, 6) AS share FROM d WHERE d2 <= 1600000000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN id % 2 = 0 AND way_id % 2 = 0 THEN 0 ELSE 1 END, d2, way_id, pos) = 1"""
+
 QUERIES = {
+    "house_street_relations": (street_houses, STREET_HOUSES_SQL),
+    "house_on_nearest_road": (matched_houses, MATCHED_HOUSES_SQL),
+    "poi_on_relations": (relation_points, RELATION_POINTS_SQL),
+    "network_similar_arcs": (similar_arcs, SIMILAR_ARCS_SQL),
     "road_one_way": (one_way, ONE_WAY_SQL),
     "road_cycleways": (cycleways, CYCLEWAYS_SQL),
     "road_rotated": (rotated, ROTATED_SQL),

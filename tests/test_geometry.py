@@ -205,3 +205,37 @@ def test_sharp_angles(spark):
     df = spark.createDataFrame(rows, "from_node long, way_id long, arc long, forward boolean, heading double")
     got = [r.heading_byte for r in roads.widened(df).orderBy("arc").collect()]
     assert got == [0, 16, 64, 80]
+
+
+def test_lines_merged_at_places(spark):
+    rows = [(1, 5, [{"lat": 0, "lon": 0}, {"lat": 0, "lon": 9}]), (2, 5, [{"lat": 0, "lon": 9}, {"lat": 9, "lon": 1}]), (3, 6, [{"lat": 9, "lon": 1}, {"lat": 20, "lon": 1}])]
+    df = spark.createDataFrame(rows, "way_id long, type int, points array<struct<lat:int,lon:int>>")
+    assert sorted((r.way_id, r.n_ways, len(r.points)) for r in roads.merged_lines(df, ["type"]).collect()) == [(1, 2, 3), (3, 1, 2)]
+
+
+def test_smoothed():
+    line = [(0, 0), (4, 1), (0, 2), (4, 3), (0, 4), (4, 40), (0, 80)]
+    out = lines.smoothed(line, 5)
+    assert out[0] == line[0] and out[-1] == line[-1] and len(out) < len(line) and lines.smoothed(line, 0) == line
+
+
+def test_flares(spark):
+    rows = [(1, 2, 10, True, 5.0), (1, 2, 11, True, 30.0), (1, 2, 12, True, 90.0), (1, 3, 13, True, 6.0)]
+    both = spark.createDataFrame(rows, "from_node long, to_node long, way_id long, forward boolean, heading double")
+    got = roads.flares(both, spark.createDataFrame([(10,), (11,), (12,), (13,)], "way_id long")).collect()
+    assert [tuple(r) for r in got] == [(1, 10, 11, 25.0)]
+
+
+def test_options_and_stages(spark, tmp_path):
+    from terralith.operators.hooks import Options, Stages, chain, parse_options
+
+    (tmp_path / "tags").write_text("note=* # all\nfixme=yes\n")
+    got = parse_options(["--levels=0=24", "--style-option=a=1;b=2", "--housenumbers", f"--delete-tags-file={tmp_path / 'tags'}", "--unknown=x", "--no-transparent", "--name-tag-list=name:en,name"])
+    assert got.levels == "0=24" and got.style_option == {"a": "1", "b": "2"} and got.housenumbers and got.other == {"unknown": "x"} and not got.transparent
+    assert got.delete_tags == (("note", "*"), ("fixme", "yes")) and got.name_tag_list == ("name:en", "name")
+    assert parse_options("min-size-polygon: 4\n# c\nmerge-lines\n").min_size_polygon == 4
+    seen = []
+    stages = Stages().add("poi", lambda t, o: seen.append("poi") or {}).add("sea", lambda t, o: seen.append("sea") or {"x": t["nodes"]}).add("location", lambda t, o: {}, lambda o: o.housenumbers and seen.append("no"))
+    out = stages.run({"nodes": spark.range(3)}, Options())
+    assert seen == ["sea", "poi"] and set(out) == {"nodes", "x"}
+    assert chain(lambda d: d.where("id > 0"), lambda d: d.union(d))(spark.range(3)).count() == 4

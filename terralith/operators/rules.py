@@ -714,7 +714,9 @@ def run_rules(
     applied: list[str] = []
 
     def changes(rule: Rule) -> bool:
-        return any(not a.name.startswith("apply") for a in rule.actions) and (not rule.types or rule.types[0].with_actions or not rule.types[0].goes_on)
+        """Whether later rules may see what the rule does. One that ends the run leaves its row as it is; its actions come last."""
+        lasting = not rule.types or rule.types[0].goes_on and rule.types[0].with_actions
+        return lasting and any(not a.name.startswith("apply") for a in rule.actions)
 
     at = 0
     while at < len(rules):
@@ -724,7 +726,7 @@ def run_rules(
         part = rules[at : end + 1]
         # The predicates of all these rules see the same tags.
         state.df = state.df.withColumns({f"holds_{at + i}": compiled(r.expression, state.tag) for i, r in enumerate(part)})
-        open_, hit, outs = F.col("hit").isNull(), F.lit(None).cast("int"), {}
+        open_, hit, outs = F.col("hit").isNull(), None, {}
         for i, r in enumerate(part):
             n = at + i
             fires = open_ & F.col(f"holds_{n}")
@@ -745,10 +747,12 @@ def run_rules(
                 outs[f"out_{n}"] = F.when(fires, _emission(r.types[0], [tags[k] for k in labels]))
                 emitted.append(f"out_{n}")
             elif r.types:
-                hit = F.coalesce(hit, F.when(F.col(f"holds_{n}"), F.lit(n)))
+                # One flat chain: Spark's search for common parts takes exponential time for nested ones.
+                hit = F.when(F.col(f"holds_{n}"), F.lit(n)) if hit is None else hit.when(F.col(f"holds_{n}"), F.lit(n))
                 open_ = open_ & ~F.col(f"holds_{n}")
         outs["fires"] = fires
-        outs["hit"] = F.coalesce("hit", hit)
+        if hit is not None:
+            outs["hit"] = F.coalesce("hit", hit)
         state.df = state.df.withColumns(outs)
         if changes(part[-1]):
             tags = state.tags()
@@ -757,7 +761,16 @@ def run_rules(
         state.df = state.df.drop("fires", *[f"holds_{at + i}" for i in range(len(part))])
         at = end + 1
 
-    # Rules that ended a run left their tags as they were when they fired: these are finalized at last.
+    # A row whose run has ended keeps its tags as they were then: now the actions of the rule that ended it are
+    # done for all such rules in one projection, and then the finalize rules run.
+    tags, late = state.tags(), {}
+    for n, r in enumerate(rules):
+        if r.types and not r.types[0].goes_on and r.actions:
+            for k, v in acted(r.actions, tags, namespace).items():
+                if v is not tags[k]:
+                    late[k] = late[k].when(F.col("hit") == n, v) if k in late else F.when(F.col("hit") == n, v)
+    if late:
+        state.df = state.df.withColumns({state.columns[k]: v.otherwise(tags[k]) for k, v in late.items()})
     if defaults := {n: r.types[0].default_name for n, r in enumerate(rules) if r.types and not r.types[0].goes_on and r.types[0].default_name}:
         name = F.lit(None).cast("string")
         for n, v in defaults.items():
@@ -807,7 +820,8 @@ def classify(
     """
     rules = parse_rules(source, includes, kind, levels, namespace=namespace)[0] if isinstance(source, str) else source
     out = run_rules(df, rules, tag_of, options, functions, namespace)
-    return out.select(*df.columns, F.posexplode("emitted").alias("ordinal", "e")).select(*df.columns, "ordinal", "e.*")
+    # An outer explode: for an inner one the optimizer puts all rules into a filter below it once more.
+    return out.select(*df.columns, F.posexplode_outer("emitted").alias("ordinal", "e")).where("ordinal is not null").select(*df.columns, "ordinal", "e.*")
 
 
 def statistics(df: DataFrame, rules: list[Rule], tag_of, **options) -> DataFrame:

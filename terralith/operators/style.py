@@ -169,7 +169,7 @@ def classify_ways(ways: DataFrame, style: Style, tag_of, closed: Column, n_point
     truth = lambda c: F.when(c, "true").otherwise("false")
     sides = {"by_lines()": truth(only != "polygon"), "by_polygons()": truth((only == "polygon") | ((only != "polyline") & ~open_))}
     out = run_rules(ways, style.way_rules(), tag_of, options, (functions or {}) | sides, style.namespace)
-    out = out.select(*ways.columns, F.posexplode("emitted").alias("ordinal", "e")).select(*ways.columns, "ordinal", "e.*")
+    out = out.select(*ways.columns, F.posexplode_outer("emitted").alias("ordinal", "e")).where("ordinal is not null").select(*ways.columns, "ordinal", "e.*")
     replaced = overlaid(out.where("kind = 'line'"), style.overlays)
     return replaced.unionByName(out.where("kind <> 'line'")) if style.overlays else out
 

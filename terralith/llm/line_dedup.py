@@ -141,7 +141,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     # Rows that surely lose nothing stay where they are.
     rows = may_be_in(rows, marks_of(dropped, "doc_id", "text_hash"), "doc_id", "text_hash")
     whole = rows.where("not may_be").withColumn("places", F.lit(None).cast("array<int>"))
-    rows = rows.where("may_be").join(dropped, ["doc_id", "text_hash"], "left").unionByName(whole).withColumn("lines", lines_of(F.col(ROW).getField("text")))
+    rows = rows.where("may_be").join(dropped.hint("merge"), ["doc_id", "text_hash"], "left").unionByName(whole).withColumn("lines", lines_of(F.col(ROW).getField("text")))
     # array_except works with a hash set, so the time for a text grows with its lines and no faster.
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("places", F.array().cast("array<int>")))
     kept = F.when(F.col("places").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get("lines", i)))

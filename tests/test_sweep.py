@@ -1,6 +1,7 @@
 """Segments met in groups, against plain loops over all pairs."""
 
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -63,6 +64,46 @@ def test_nearest_rows_on_many_points():
     assert np.array_equal(found >= 0, least <= 1_000_000) and np.array_equal(d2[found >= 0], least[found >= 0])
 
 
+def plain_crossings(segs, edges, snap):
+    out = set()
+    for road, pos, ya, xa, yb, xb in segs:
+        for border, b_pos, yc, xc, yd, xd in edges:
+            by = (yb - ya) * (xd - xc) - (yd - yc) * (xb - xa)
+            if not by:
+                continue
+            h = Fraction((yd - yc) * (xa - xd) - (ya - yd) * (xd - xc), by)
+            g = Fraction((yb - ya) * (xa - xc) - (ya - yc) * (xb - xa), by)
+            if not (0 <= h <= 1 and 0 <= g <= 1):
+                continue
+            share = ((yd - yc) * (xa - xd) - (ya - yd) * (xd - xc)) / by
+            y, x = int(np.floor(ya + share * (yb - ya) + 0.5)), int(np.floor(xa + share * (xb - xa) + 0.5))
+            d1, d2 = (y - ya) ** 2 + (x - xa) ** 2, (y - yb) ** 2 + (x - xb) ** 2
+            out.add((road, pos, border, b_pos, y, x, "start" if d1 <= d2 and d1 <= snap * snap else "end" if d2 <= snap * snap else "between"))
+    return out
+
+
+@pytest.mark.parametrize("per_group, wide", [(200_000, 3_000), (30, 3_000), (200_000, 900_000_000)])
+def test_crossings(spark, monkeypatch, per_group, wide):
+    monkeypatch.setattr(sweep, "PER_GROUP", per_group)
+    monkeypatch.setattr(sweep, "PARTS", 3)
+    rng = random.Random(wide)
+    segs, edges = lines(rng, 120, wide), lines(rng, 60, wide, short=True) + lines(rng, 30, wide)
+    edges += [(500 + i, 9, *s[2:4], s[2] + 1, s[3] + wide // 9) for i, s in enumerate(segs[:20])]
+    # A row that stands there twice counts once.
+    a = spark.createDataFrame(segs + segs[:5], "road long, pos int, lat int, lon int, to_lat int, to_lon int")
+    b = spark.createDataFrame(edges + edges[:5], "border long, pos int, lat int, lon int, to_lat int, to_lon int")
+    snap = wide // 30
+    want = plain_crossings(segs, edges, snap)
+    got = [tuple(r) for r in spatial.crossings(a, b, snap).collect()]
+    assert {w[6] for w in want} == {"start", "end", "between"}
+    assert sorted(set(got)) == sorted(want)
+    counts = {(r.border, r.at): r.n for r in spatial.crossing_counts(a, b, snap).collect()}
+    tally: dict = {}
+    for r in got:
+        tally[r[2], r[6]] = tally.get((r[2], r[6]), 0) + 1
+    assert counts == tally
+
+
 def test_cost_of_nearest_follows_the_columns(monkeypatch):
     """Few of all pairs of a point and a segment are looked at, though every distance is within ``most``."""
     seen = []

@@ -76,15 +76,23 @@ def route_centres(nodes: DataFrame, arcs: DataFrame, width: int = CENTRE_WIDTH,
     than ``width``, and it has fewer than so many roads, nodes outside that arcs lead to, and bytes. A centre's name is the path of
     halves that lead to it. Boxes that fit are done, so a round looks only at the others; each is written out.
     """
-    state = cut(nodes.select("node_id", "lat", "lon", "bytes", F.lit("").alias("centre")))
+    arcs = cut(arcs.select("from_node", "to_node", "way_id"))
+    lead = arcs.groupBy(F.col("from_node").alias("node_id")).agg(F.count(F.lit(1)).alias("arcs"))
+    state = cut(nodes.select("node_id", "lat", "lon", "bytes", F.lit("").alias("centre")).join(lead, "node_id", "left").fillna(0, ["arcs"]))
     done = None
     for _ in range(48):
-        box = state.groupBy("centre").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.sum("bytes").alias("bytes"))
-        own = state.select(F.col("node_id").alias("from_node"), "centre")
-        there = state.select(F.col("node_id").alias("to_node"), F.col("centre").alias("other"))
-        links = arcs.join(own, "from_node").join(there, "to_node", "left")
-        links = links.groupBy("centre").agg(F.countDistinct("way_id").alias("ways"), F.countDistinct(F.when(~F.col("other").eqNullSafe(F.col("centre")), F.col("to_node"))).alias("out"))
-        box = box.join(links, "centre", "left").fillna(0, ["ways", "out"])
+        box = cut(state.groupBy("centre").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.sum("bytes").alias("bytes"), F.sum("arcs").alias("arcs")))
+        # Roads and nodes outside are counted only in boxes that fit by all else and have so many arcs that they might not fit by these.
+        open_ = (F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s")) < width) & (F.col("bytes") < size) & (F.col("arcs") >= min(roads, outside))
+        asked = state.join(box.where(open_).select("centre"), "centre", "left_semi")
+        if asked.isEmpty():
+            box = box.withColumn("ways", F.lit(0)).withColumn("out", F.lit(0))
+        else:
+            own = asked.select(F.col("node_id").alias("from_node"), "centre")
+            there = asked.select(F.col("node_id").alias("to_node"), F.col("centre").alias("other"))
+            links = arcs.join(own, "from_node").join(there, "to_node", "left")
+            links = links.groupBy("centre").agg(F.countDistinct("way_id").alias("ways"), F.countDistinct(F.when(~F.col("other").eqNullSafe(F.col("centre")), F.col("to_node"))).alias("out"))
+            box = box.join(links, "centre", "left").fillna(0, ["ways", "out"])
         wide, high = F.col("e") - F.col("w"), F.col("n") - F.col("s")
         fits = (F.greatest(wide, high) < width) & (F.col("ways") < roads) & (F.col("out") < outside) & (F.col("bytes") < size)
         # A box of one place cannot be halved.
@@ -97,7 +105,7 @@ def route_centres(nodes: DataFrame, arcs: DataFrame, width: int = CENTRE_WIDTH,
         if rest.isEmpty():
             break
         upper = F.when(F.col("by_lon"), F.col("lon") > F.col("at")).otherwise(F.col("lat") > F.col("at"))
-        state = cut(rest.select("node_id", "lat", "lon", "bytes", F.concat("centre", F.when(upper, "1").otherwise("0")).alias("centre")))
+        state = cut(rest.select("node_id", "lat", "lon", "bytes", "arcs", F.concat("centre", F.when(upper, "1").otherwise("0")).alias("centre")))
     return done
 
 

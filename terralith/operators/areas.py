@@ -10,12 +10,14 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import spatial
-from .kernels import Point, clipped_line, clipped_ring, contains
+from .kernels import Point, clipped_line, clipped_ring, contains, lists_of_points, points_of_lists
+from .work import spread
 
 RING = "array<struct<lat:int,lon:int>>"
 
@@ -122,22 +124,33 @@ def assembled_rings(members: DataFrame, gap: float = 0.0) -> DataFrame:
     holes of their parent.
     """
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def rows(rel_id, members: list[dict]) -> list[dict]:
         place: dict = {}
         ways = []
-        for points in group.sort_values("pos")["points"]:
-            place |= {p["node_id"]: (p["lat"], p["lon"]) for p in points}
-            ways.append([p["node_id"] for p in points])
+        for member in members:
+            place |= {p["node_id"]: (p["lat"], p["lon"]) for p in member["points"]}
+            ways.append([p["node_id"] for p in member["points"]])
         closed, open_ = chained(ways)
         rings = [[place[n] for n in r[:-1]] for r in closed]
         rings += [[p for p in r if True] for r in closed_gaps([[place[n] for n in c] for c in open_], gap)] if gap > 0 else []
         rings = [r for r in rings if len(r) > 2 and signed_area(r)]
-        rows = [(key[0], i, depth, parent, depth % 2 == 0, [{"lat": y, "lon": x} for y, x in r], signed_area(r)) for i, (r, (depth, parent)) in enumerate(zip(rings, nested(rings)))]
-        out = pd.DataFrame(rows, columns=["rel_id", "ring", "depth", "parent", "outer", "points", "area2"])
-        return out.astype({"parent": "Int64"})
+        return [
+            {"rel_id": rel_id, "ring": i, "depth": depth, "parent": parent, "outer": depth % 2 == 0, "points": [{"lat": y, "lon": x} for y, x in r], "area2": signed_area(r)}
+            for i, (r, (depth, parent)) in enumerate(zip(rings, nested(rings)))
+        ]
 
-    # The members of one relation.
-    return members.select("rel_id", "pos", "points").groupBy("rel_id").applyInPandas(run, f"rel_id long, ring int, depth int, parent long, outer boolean, points {RING}, area2 long")
+    ring = pa.list_(pa.struct([("lat", pa.int32()), ("lon", pa.int32())]))
+    types = pa.schema([("rel_id", pa.int64()), ("ring", pa.int32()), ("depth", pa.int32()), ("parent", pa.int64()), ("outer", pa.bool_()), ("points", ring), ("area2", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                some = batch.slice(at, 500)
+                yield pa.RecordBatch.from_pylist([row for r, m in zip(some["rel_id"].to_pylist(), some["members"].to_pylist()) for row in rows(r, m)], types)
+
+    # The members of one relation stand in one row; many relations go to a worker at once.
+    whole = spread(members.select("rel_id", "pos", "points"), "rel_id").groupBy("rel_id").agg(F.sort_array(F.collect_list(F.struct("pos", "points"))).alias("members"))
+    return whole.mapInArrow(run, f"rel_id long, ring int, depth int, parent long, outer boolean, points {RING}, area2 long")
 
 
 def polygons_of(rings: DataFrame, tags: DataFrame) -> DataFrame:
@@ -145,9 +158,14 @@ def polygons_of(rings: DataFrame, tags: DataFrame) -> DataFrame:
 
     tags has rel_id and tags; an outer ring has all of them but the type.
     """
-    outer = rings.where("outer").select("rel_id", "ring", "points", "area2")
-    holes = rings.where("not outer").groupBy("rel_id", F.col("parent").alias("ring")).agg(F.sort_array(F.collect_list(F.struct(F.col("ring").alias("k"), "points"))).alias("h"), F.sum(F.abs("area2")).alias("cut"))
-    out = outer.join(holes, ["rel_id", "ring"], "left").join(tags.select("rel_id", F.map_filter("tags", lambda k, v: k != "type").alias("tags")), "rel_id")
+    # One pass: rings come from Python, which two joined halves would run twice.
+    hole = lambda c: F.when(~F.col("outer"), c)
+    owner = F.when(F.col("outer"), F.col("ring")).otherwise(F.col("parent").cast("int"))
+    held = rings.groupBy("rel_id", owner.alias("owner")).agg(
+        F.any_value(F.when(F.col("outer"), F.struct("ring", "points", "area2")), True).alias("o"),
+        F.sort_array(F.collect_list(hole(F.struct(F.col("ring").alias("k"), "points")))).alias("h"), F.sum(hole(F.abs("area2"))).alias("cut"),
+    )
+    out = held.where("o is not null").select("rel_id", "o.*", "h", "cut").join(tags.select("rel_id", F.map_filter("tags", lambda k, v: k != "type").alias("tags")), "rel_id")
     inner = F.coalesce(F.transform("h", lambda x: x["points"]), F.array().cast(f"array<{RING}>"))
     return out.select("rel_id", "ring", "points", inner.alias("holes"), (F.abs("area2") - F.coalesce("cut", F.lit(0))).alias("area2"), "tags")
 
@@ -226,15 +244,16 @@ def split_ring(ring: list[Point], most_points: int, most_size: int, depth: int =
 
 
 def _on_rings(kernel, result: str):
-    """A column function over rings (arrays of lat, lon) that gives a list of rings, or one number."""
+    """A column function over rings (arrays of lat, lon) that gives a list of rings."""
 
-    @F.pandas_udf(result)
-    def run(rings: pd.Series) -> pd.Series:
-        made = []
-        for ring in rings:
-            value = None if ring is None else kernel([(p["lat"], p["lon"]) for p in ring])
-            made.append([[{"lat": int(y), "lon": int(x)} for y, x in r] for r in value] if isinstance(value, list) else value)
-        return pd.Series(made, dtype=object)
+    @F.arrow_udf(result)
+    def run(rings: pa.Array) -> pa.Array:
+        made = [None if ring is None else kernel(ring) for ring in lists_of_points(rings)]
+        starts, at = [], 0
+        for parts in made:
+            starts.append(None if parts is None else at)
+            at += len(parts or ())
+        return pa.ListArray.from_arrays(pa.array([*starts, at], pa.int32()), points_of_lists([r for parts in made if parts is not None for r in parts]))
 
     return run
 
@@ -347,15 +366,18 @@ def merge_shapes(shapes: DataFrame, same: list[str], side: int) -> DataFrame:
     box = geo.bounds(F.col("points"))
     cell = F.struct(F.floor(box["min_lon"] / side).cast("long").alias("cx"), F.floor(box["min_lat"] / side).cast("long").alias("cy"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        rings = joined_shapes([[(p["lat"], p["lon"]) for p in r] for r in group["points"]])
-        first = group.iloc[0]
-        return pd.DataFrame([{**{c: first[c] for c in same}, "cx": first["cx"], "cy": first["cy"], "points": [{"lat": y, "lon": x} for y, x in r]} for r in rings], columns=[*same, "cx", "cy", "points"])
+    def run(batches):
+        for batch in batches:
+            rings = [joined_shapes([[(p["lat"], p["lon"]) for p in s["points"]] for s in group]) for group in batch["shapes"].to_pylist()]
+            of = pa.array([i for i, r in enumerate(rings) for _ in r], pa.int64())
+            kept = [batch[c].take(of) for c in [*same, "cx", "cy"]]
+            yield pa.RecordBatch.from_arrays([*kept, points_of_lists([r for group in rings for r in group])], names=[*same, "cx", "cy", "points"])
 
     dealt = shapes.withColumn("cell", cell).select("id", *same, F.col("cell.cx").alias("cx"), F.col("cell.cy").alias("cy"), "points")
     types = {f.name: f.dataType.simpleString() for f in shapes.schema}
-    return dealt.groupBy(*same, "cx", "cy").applyInPandas(run, ", ".join([f"`{c}` {types[c]}" for c in same] + ["cx long", "cy long", f"points {RING}"]))
+    # The shapes of one group stand in one row, in the order of their ids.
+    whole = spread(dealt, *same, "cx", "cy").groupBy(*same, "cx", "cy").agg(F.sort_array(F.collect_list(F.struct("id", "points"))).alias("shapes"))
+    return whole.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in same] + ["cx long", "cy long", f"points {RING}"]))
 
 
 def union_area(rings: list[list[Point]]) -> float:

@@ -59,3 +59,12 @@ def test_centres_by_roads_and_outside(spark):
     # The lower half leads to a node of the upper one, and so do all its parts down to single nodes.
     outside = list(deal(9, 1).values())
     assert sorted(outside.count(c) for c in set(outside)) == [1] * 8 + [8]
+
+
+def test_restrictions_read_the_lines_once(spark):
+    """The roads behind the restrictions are written, so the last step scans no table of lines again."""
+    from terralith import plans
+
+    for name in ("road_restrictions", "road_forbidden_arcs"):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan

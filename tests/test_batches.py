@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from terralith.operators import areas, kernels, tiles, work
+from terralith.operators import areas, kernels, roads, tiles, work
 
 POINT = "array<struct<node_id:long,lat:int,lon:int>>"
 
@@ -68,3 +68,35 @@ def test_restrictions_read_the_lines_once(spark):
     for name in ("road_restrictions", "road_forbidden_arcs"):
         plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "l_orderkey" not in plan
+
+
+def test_turns_of_many_nodes(spark):
+    """Nodes have no worker call of their own; each still takes its smallest turns first."""
+    rng = random.Random(7)
+    spot = lambda n: (n, n * 7919 % 1009, n * 104729 % 2003)
+    ends = {i: (rng.randrange(40), rng.randrange(40, 80)) if i % 2 else (rng.randrange(40, 80), rng.randrange(40)) for i in range(400)}
+    df = spark.createDataFrame([(i, i % 3, [spot(a), spot(b)]) for i, (a, b) in ends.items()], f"way_id long, kind int, points {POINT}")
+    pairs = roads.merge_pairs(df, ["kind"])
+    assert "FlatMapGroupsInPandas" not in pairs._jdf.queryExecution().toString()
+    every = roads.merge_pairs(df, ["kind"], most=180.0)
+    for got, most in ((pairs, 130.0), (every, 180.0)):
+        rows = [tuple(r) for r in got.collect()]
+        into, out = {}, {}
+        for n, a, b, turn in rows:
+            assert ends[a][1] == ends[b][0] == n and a % 3 == b % 3 and turn <= most
+            assert (into.setdefault(a, turn), out.setdefault(b, turn)) == (turn, turn)
+        turn = {(a, b): t for _, a, b, t in rows}
+        assert len(turn) == len(rows) == len(into) == len(out) > 40
+        if most == 180.0:
+            # No two ways that go on in one another are left over on both sides.
+            assert not [1 for a in ends for b in ends if a != b and a not in into and b not in out and ends[a][1] == ends[b][0] and a % 3 == b % 3]
+
+
+def test_a_ring_costs_no_rounds_by_the_number_of_ways(spark, monkeypatch):
+    pairs = [(10, 11), (11, 12), (12, 10), (20, 21), (21, 20), (30, 31), (31, 32)]
+    written = []
+    monkeypatch.setattr(roads, "cut", lambda df: written.append(1) or df.localCheckpoint())
+    got = roads.chains(spark.createDataFrame(pairs, "first long, second long"), spark.range(1 << 14).withColumnRenamed("id", "way_id"))
+    found = {r.way_id: (r.head, r.place) for r in got.collect()}
+    assert len(found) == 1 << 14 and len(written) < 14
+    assert [found[i] for i in (10, 11, 12, 20, 21, 30, 31, 32, 40)] == [(10, 0), (10, 1), (10, 2), (20, 0), (20, 1), (30, 0), (30, 1), (30, 2), (40, 0)]

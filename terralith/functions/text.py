@@ -234,19 +234,22 @@ def encoded(value: Column, charset: str) -> Column:
     return F.encode(of(value), charset)
 
 
+#: The signs of base64 in order. Fixed value.
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
 def encoded6(value: Column) -> Column:
     """A label in six bits a sign, as hex: letters, digits and blank; others go. It ends with 0x3f.
 
     Blank is 0, letters follow from 1 and digits from 0x20; bits are packed from the left.
     """
-    signs = " ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    signs = " ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "\0" * 5 + "0123456789"
+    used = [i for i, c in enumerate(signs) if c != "\0"]
     clean = F.regexp_replace(F.upper(to_ascii(value)), "[^ A-Z0-9]", "")
-    bits = F.transform(F.filter(F.split(clean, ""), lambda c: c != ""), lambda c: F.lpad(F.conv(F.when(c.rlike("[0-9]"), F.expr("32") + F.ascii(c) - 48).otherwise(F.instr(F.lit(signs), c) - 1).cast("string"), 10, 2), 6, "0"))
-    joined = F.concat(F.array_join(bits, ""), F.lit("111111"))
-    size = (F.ceil(F.length(joined) / 8) * 8).cast("int")
-    padded = F.rpad(joined, size, "0")
-    octets = F.transform(F.sequence(F.lit(1), size, F.lit(8)), lambda i: F.lpad(F.conv(F.substring(padded, i, F.lit(8)), 2, 16), 2, "0"))
-    return F.when(value.isNotNull(), F.array_join(octets, ""))
+    # The same packing as base64, by other signs; its "A" is six bits of nothing.
+    coded = F.concat(F.translate(clean, "".join(signs[i] for i in used), "".join(BASE64[i] for i in used)), F.lit("/"))
+    packed = F.unbase64(F.rpad(coded, (F.ceil(F.length(coded) / 4) * 4).cast("int"), "A"))
+    return F.substring(F.hex(packed), F.lit(1), (F.ceil(F.length(coded) * 6 / 8) * 2).cast("int"))
 
 
 def speed_kmh(value: Column) -> Column:

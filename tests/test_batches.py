@@ -100,3 +100,22 @@ def test_a_ring_costs_no_rounds_by_the_number_of_ways(spark, monkeypatch):
     found = {r.way_id: (r.head, r.place) for r in got.collect()}
     assert len(found) == 1 << 14 and len(written) < 14
     assert [found[i] for i in (10, 11, 12, 20, 21, 30, 31, 32, 40)] == [(10, 0), (10, 1), (10, 2), (20, 0), (20, 1), (30, 0), (30, 1), (30, 2), (40, 0)]
+
+
+def test_filters_of_values_have_all_tasks(spark):
+    """The rows of one small file are dealt out, and signs of six bits are packed without a loop over an array."""
+    from terralith import plans
+    from terralith.functions import text
+
+    assert plans.QUERIES["value_filters_more"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    names = [None, "", "a", "ab", "Straße 12", "zZ-9 日", "0123456789", "  "]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(names)], "id int, v string").select("id", text.encoded6(F.col("v")).alias("x"))
+    assert "transform" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+    def plain(v):
+        signs = [c for c in v.replace("ß", "ss").upper() if c in " ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+        bits = "".join(f"{32 + int(c) if c.isdigit() else 0 if c == ' ' else ord(c) - 64:06b}" for c in signs) + "111111"
+        bits += "0" * (-len(bits) % 8)
+        return "".join(f"{int(bits[i : i + 8], 2):02X}" for i in range(0, len(bits), 8))
+
+    assert {r.id: r.x for r in df.collect()} == {i: None if v is None else plain(v) for i, v in enumerate(names)}

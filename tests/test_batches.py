@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from terralith.operators import areas, kernels, roads, tiles, work
+from terralith.operators import areas, kernels, roads, tiles, ways, work
 
 POINT = "array<struct<node_id:long,lat:int,lon:int>>"
 
@@ -119,3 +119,23 @@ def test_filters_of_values_have_all_tasks(spark):
         return "".join(f"{int(bits[i : i + 8], 2):02X}" for i in range(0, len(bits), 8))
 
     assert {r.id: r.x for r in df.collect()} == {i: None if v is None else plain(v) for i, v in enumerate(names)}
+
+
+def test_paths_at_closed_nodes_are_counted_not_made(spark, monkeypatch):
+    rng = random.Random(8)
+    refs = [(w, i, rng.randrange(30)) for w in range(600) for i in range(rng.randrange(2, 6))]
+    way_nodes = spark.createDataFrame(refs, "way_id long, pos int, node_id long")
+    nodes = spark.createDataFrame([(n, n * 7919 % 1009, n * 104729 % 2003) for n in range(30)], "node_id long, lat int, lon int")
+    via = spark.createDataFrame([(3, 129), (4, 0), (5, 6), (5, 6), (6, None), (90, 0)], "node_id long, except_mask int")
+    access = spark.createDataFrame([(w, rng.choice([129, 255, 6, 1, 256, None])) for w in range(550)], "way_id long, mask int")
+    every, some = ways.arcs(way_nodes, nodes), ways.arcs(ways.passing(way_nodes, via), nodes, ways.degrees(way_nodes))
+    passed = {w for w, _, n in refs if n in (3, 4, 5, 6)}
+    plain = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert 0 < len(passed) < 600 and plain(some) == plain(every.where(F.col("way_id").isin(passed)))
+    want = {r.node_id: r.n for r in ways.no_through_routes(every, via, access).groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(want) == {3, 4, 5} and {r.node_id: r.n for r in ways.no_through_counts(some, via, access).collect()} == want
+    # No step holds a row for each path: what is written has one for each end of an arc at most.
+    written = []
+    monkeypatch.setattr(ways, "cut", lambda df: written.append(df.localCheckpoint()) or written[-1])
+    ways.no_through_counts(some, via, access).collect()
+    assert [w.count() <= 2 * some.count() and 4 * w.count() < sum(want.values()) for w in written] == [True]

@@ -21,14 +21,14 @@ def decimal_text(x: Column) -> Column:
 
 def way_length(points: Column) -> Column:
     """Metres along an array of (lat, lon) structs in map units."""
-    n = F.size(points)
-    steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    def step(i: Column) -> Column:
-        a, b = F.element_at(points, i), F.element_at(points, i + 1)
-        return geo.distance(*[geo.degrees(v) for v in (a["lat"], a["lon"], b["lat"], b["lon"])])
+    def along(places: Column) -> Column:
+        n = F.greatest(F.size(places) - 1, F.lit(0))
+        steps = F.zip_with(F.slice(places, 1, n), F.slice(places, 2, n), lambda a, b: geo.distance(a["lat"], a["lon"], b["lat"], b["lon"], geo.bound))
+        return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
 
-    return F.aggregate(F.transform(steps, step), F.lit(0.0), lambda s, x: s + x)
+    places = F.transform(points, lambda p: F.struct(geo.degrees(p["lat"]).alias("lat"), geo.degrees(p["lon"]).alias("lon")))
+    return F.when(points.isNull(), F.lit(0.0)).otherwise(geo.bound(places, along))
 
 
 def length(metres: Column) -> Column:

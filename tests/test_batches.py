@@ -1,5 +1,6 @@
 """Rings, shapes and centres over many groups at once."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -139,3 +140,28 @@ def test_paths_at_closed_nodes_are_counted_not_made(spark, monkeypatch):
     monkeypatch.setattr(ways, "cut", lambda df: written.append(df.localCheckpoint()) or written[-1])
     ways.no_through_counts(some, via, access).collect()
     assert [w.count() <= 2 * some.count() and 4 * w.count() < sum(want.values()) for w in written] == [True]
+
+
+def test_length_of_a_way_computes_each_term_once(spark):
+    """Functions over arrays are interpreted and share nothing, so what a step uses twice must have a name."""
+    from terralith.functions import element
+
+    rng = random.Random(9)
+    lines = {i: [(rng.randrange(-(4 << 20), 4 << 20), rng.randrange(-(8 << 20), 8 << 20)) for _ in range(i % 6)] for i in range(40)}
+    lines |= {50: None, 51: [(5, 5), (5, 900)], 52: [(0, 8 << 20), (90_000, -(8 << 20) + 1)], 53: [(7, 7), (7, 7)], 54: [(1, 1), (None, 2)]}
+    df = spark.createDataFrame([(i, p) for i, p in lines.items()], "id int, points array<struct<lat:int,lon:int>>")
+    df = df.select("id", element.way_length(F.col("points")).alias("m"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("TAN(") == 2 and plan.upper().count("SQRT(") == 2
+
+    def metres(a, b):
+        (y1, x1), (y2, x2) = ([math.radians(v * 360 / (1 << 24)) for v in p] for p in (a, b))
+        near = math.hypot((x2 - x1) * math.cos((y1 + y2) / 2), y2 - y1) * 6378137.0
+        turn = x2 - x1 - 2 * math.pi * (x2 - x1 > math.pi) + 2 * math.pi * (x2 - x1 < -math.pi)
+        up = math.log(math.tan(y2 / 2 + math.pi / 4) / math.tan(y1 / 2 + math.pi / 4))
+        return near if near < 10_000 else math.hypot(y2 - y1, turn * ((y2 - y1) / up if abs(up) > 1e-10 else math.cos(y1))) * 6378137.0
+
+    got = {r.id: r.m for r in df.collect()}
+    assert got.pop(54) is None
+    for i, m in got.items():
+        assert math.isclose(m, sum(metres(a, b) for a, b in zip(lines[i] or [], (lines[i] or [])[1:])), rel_tol=1e-9, abs_tol=1e-6)
